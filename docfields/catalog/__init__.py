@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["q_reports"]
+SECTIONS = ["q_reports", "q_standardize"]
 
 
 def load_all() -> None:

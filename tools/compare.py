@@ -38,7 +38,7 @@ def normal(value):
 
 def main(sf_dir: str, parts: list[str]) -> int:
     spark = build_session(master=f"local[{os.environ.get('BENCH_CPUS', '8')}]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
