@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["q_reports", "q_standardize"]
+SECTIONS = ["q_reports", "q_standardize", "q_layout"]
 
 
 def load_all() -> None:

@@ -12,7 +12,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
 
-def query(name: str, views: list[str] | None = None, sql: str | None = None):
+def query(name: str, views: list[str] | None = None, sql: str | None = None, recursive: bool = False):
     """Register ``fn(views) -> DataFrame``; ``sql`` is the DuckDB text over the named views."""
 
     def register(fn: Callable[[Views], DataFrame]):
@@ -20,7 +20,7 @@ def query(name: str, views: list[str] | None = None, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         _QUERIES[name] = lambda spark, sf_dir: fn(Views(spark, sf_dir))
         if sql is not None:
-            _ORACLES[name] = with_views(sql, views or [])
+            _ORACLES[name] = with_views(sql, views or [], recursive)
         return fn
 
     return register

@@ -356,7 +356,7 @@ class Views:
         return df
 
 
-def with_views(sql: str, views: list[str]) -> str:
+def with_views(sql: str, views: list[str], recursive: bool = False) -> str:
     """The DuckDB text of a query: the needed views as common table expressions, then ``sql``."""
     order: list[str] = []
 
@@ -369,8 +369,7 @@ def with_views(sql: str, views: list[str]) -> str:
     for view in views:
         need(view)
     ctes = [f"{name} AS ({VIEWS[name](DUCK)})" for name in order]
-    body = sql.strip()
+    body, lead = sql.strip(), "WITH RECURSIVE" if recursive else "WITH"
     if body[:5].upper() == "WITH ":
-        body = body[5:].strip()
-        return f"WITH {', '.join(ctes + [''])}{body}" if ctes else f"WITH {body}"
-    return f"WITH {', '.join(ctes)} {body}" if ctes else body
+        return f"{lead} {', '.join([*ctes, body[5:].strip()])}"
+    return f"{lead} {', '.join(ctes)} {body}" if ctes else body

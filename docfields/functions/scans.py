@@ -93,3 +93,15 @@ def previous_value(
     )
     local = F.max(column).over(frame)
     return rows.withColumn(name, F.coalesce(local, F.col("_carry"))).drop("_block", "_carry")
+
+
+def running_max_through(
+    df: DataFrame, keys: Sequence[str], column: str, value: Column, name: str, width: float = 512.0
+) -> DataFrame:
+    """Add ``name`` = max(value) over the rows up to this one by the numeric ``column`` (distinct per group)."""
+    rows, _, frame = _with_carry(
+        df.withColumn("_value", value), keys, F.floor(F.col(column) / width), [column],
+        lambda: F.max("_value"), F.max, 0,
+    )
+    local = F.max("_value").over(frame)
+    return rows.withColumn(name, F.greatest(local, F.col("_carry"))).drop("_block", "_carry", "_value")

@@ -37,8 +37,8 @@ def digits(column: Column) -> Column:
 
 
 def capture(column: Column, pattern: str, group: int = 0) -> Column:
-    """Capture group of the first match, NULL (not '') when the pattern is absent."""
-    return F.when(column.rlike(pattern), F.regexp_extract(column, pattern, group))
+    """Capture group of the first match, NULL (not '') when the pattern is absent or the group empty."""
+    return F.nullif(F.regexp_extract(column, pattern, group), F.lit(""))
 
 
 def python_title(column: Column) -> Column:

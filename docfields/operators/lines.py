@@ -24,27 +24,35 @@ ACTIVITY_WORDS = "manufacturer|producer|service|retailer|wholesaler|importer|exp
 
 # What the pattern inventory looks for.
 INVENTORY = {
-    "phones": r"(?:\+63|0)9\d{9}",
-    "emails": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "dates": r"\d{1,2}[/-]\d{1,2}[/-]\d{4}",
-    "tins": r"\d{3}-\d{3}-\d{3}(?:-\d{3})?",
-    "amounts": r"(?:₱|PHP|P)\s?\d{1,3}(?:,\d{3})*(?:\.\d{2})?",
+    "phone": r"(?:\+63|0)9\d{2}[ -]?\d{3}[ -]?\d{4}",
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "date": r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b|\b\d{4}-\d{1,2}-\d{1,2}\b",
+    "tin": r"\b\d{9}\b|\b\d{3}-\d{3}-\d{3}\b",
+    "amount": r"(?:₱|PHP|P)\s?\d{1,3}(?:,\d{3})*(?:\.\d{2})?",
 }
 
 
-def full_text(lines: DataFrame) -> DataFrame:
-    """Lines of each entry joined by newline in line order.
+def ordered_text(
+    rows: DataFrame, keys: list[str], position: str, value: Column, separator: str, name: str
+) -> DataFrame:
+    """``value`` of each group joined in the order of the integer ``position``.
 
-    Blocks of lines are joined first, so that no task ever sorts the separate lines of a long entry;
+    Blocks of positions are joined first, so that no task ever sorts the single rows of a large group;
     the last step only concatenates a few block texts.
     """
+    piece = F.struct(position, F.coalesce(value, F.lit("")).alias("text"))
     blocks = (
-        lines.groupBy("entry_id", F.floor(F.col("line_no") / BLOCK).alias("_block"))
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("text", F.lit("")).alias("text")))).alias("_l"))
-        .select("entry_id", "_block", F.array_join(F.col("_l.text"), "\n").alias("_text"))
+        rows.groupBy(*keys, F.floor(F.col(position) / BLOCK).alias("_block"))
+        .agg(F.array_sort(F.collect_list(piece)).alias("_l"))
+        .select(*keys, "_block", F.array_join(F.col("_l.text"), separator).alias("_text"))
     )
-    return blocks.groupBy("entry_id").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("_block", "_text")))["_text"], "\n").alias("full_text"))
+    joined = F.array_sort(F.collect_list(F.struct("_block", "_text")))["_text"]
+    return blocks.groupBy(*keys).agg(F.array_join(joined, separator).alias(name))
+
+
+def full_text(lines: DataFrame) -> DataFrame:
+    """Lines of each entry joined by newline in line order."""
+    return ordered_text(lines, ["entry_id"], "line_no", F.col("text"), "\n", "full_text")
 
 
 def summarize_lines(entries: DataFrame, lines: DataFrame) -> DataFrame:
