@@ -26,7 +26,8 @@ def _with_carry(
 ) -> tuple[DataFrame, list[str], Column]:
     """Rows joined with ``_carry`` (fold over all earlier blocks) plus the within-block frame."""
     keys = list(keys)
-    blocked = df.withColumn("_block", block)
+    # One exchange on (group, block) serves the block totals, the frame inside the block and the join.
+    blocked = df.withColumn("_block", block).repartition(*keys, "_block")
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         blocked.groupBy(*keys, "_block")

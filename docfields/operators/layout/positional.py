@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docfields.functions.materialize import materialize
 from docfields.functions.scans import ordered_rank, previous_value, running_max_through
 from docfields.operators.lines import ordered_text
 
@@ -67,7 +68,7 @@ def _grouped(lines: DataFrame, edge: str, threshold: float, name: str) -> DataFr
             (F.size(starts) == 0) | (c - F.element_at(starts, -1) > threshold), F.concat(starts, F.array(c))
         ).otherwise(starts),
     )
-    starts = (
+    starts = materialize(
         runs.groupBy("entry_id", "_run").agg(F.array_sort(F.collect_list("_c")).alias("_cs"))
         .withColumn("_starts", walk)
         .select("entry_id", F.explode(F.transform(

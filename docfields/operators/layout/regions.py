@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfields.functions import text
+from docfields.functions.materialize import materialize
 from docfields.functions.scans import ordered_rank, running_max_before, running_sum
 
 # Confidence by kind of region, distances in pixels, limits of a box-like line.
@@ -86,11 +87,9 @@ def detect_checkbox_groups(lines: DataFrame) -> DataFrame:
     The walk is sequential within a segment only. It keeps the open chains, never a whole segment.
     """
     boxed = lines.filter("box is not null")
-    segments = _segments(boxed)
-    busy = segments.groupBy("entry_id", "segment").agg(F.count_if("short").alias("_n")).filter("_n > 1")
     ordered = (
-        segments.join(busy.drop("_n"), ["entry_id", "segment"], "left_semi")
-        .repartition("entry_id", "segment").sortWithinPartitions("entry_id", "segment", "line_no")
+        _segments(boxed).repartition("entry_id", "segment")
+        .sortWithinPartitions("entry_id", "segment", "line_no")
     )
     kind = lines.schema["entry_id"].dataType.simpleString()
     return ordered.mapInPandas(_walk, f"entry_id {kind}, line_no bigint, group_no bigint")
@@ -104,7 +103,7 @@ def region_lines(lines: DataFrame) -> DataFrame:
     boxed = lines.filter("box is not null")
     titles = boxed.filter(is_title(F.col("text"))).withColumns(
         {"region_type": F.lit("section_title"), "region_key": F.col("line_no")})
-    members = detect_checkbox_groups(lines)
+    members = materialize(detect_checkbox_groups(lines))  # used below for members and for leftovers
     grouped = boxed.join(members, ["entry_id", "line_no"]).withColumns(
         {"region_type": F.lit("checkbox_group"), "region_key": F.col("group_no")}).drop("group_no")
     used = members.select("entry_id", "line_no").union(titles.select("entry_id", "line_no"))
@@ -118,7 +117,8 @@ def region_lines(lines: DataFrame) -> DataFrame:
 
 def classify_regions(lines: DataFrame) -> DataFrame:
     """One row per region, numbered from the top of each entry (ties: titles, groups, text; then line)."""
-    members = region_lines(lines)
+    members = materialize(region_lines(lines).select(
+        "entry_id", "region_type", "region_key", "line_no", "text", "box"))
     keys = ["entry_id", "region_type", "region_key"]
     bounds = members.groupBy(*keys).agg(
         F.struct(F.min("box.top").alias("top"), F.min("box.left").alias("left"),
