@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["q_reports", "q_standardize", "q_layout", "q_flows"]
+SECTIONS = ["q_reports", "q_standardize", "q_layout", "q_flows", "q_streams"]
 
 
 def load_all() -> None:

@@ -24,6 +24,9 @@ class SparkDialect:
     def days(self, column: str, n: str) -> str:
         return f"({column} + make_interval(0, 0, 0, {n}))"
 
+    def instant(self, value: str) -> str:
+        return f"TIMESTAMP_NTZ '{value}'"
+
     def minutes(self, column: str, n: str) -> str:
         return f"({column} + make_interval(0, 0, 0, 0, 0, {n}))"
 
@@ -53,6 +56,9 @@ class DuckDialect:
     def days(self, column: str, n: str) -> str:
         return f"({column} + to_days(CAST({n} AS INTEGER)))"
 
+    def instant(self, value: str) -> str:
+        return f"TIMESTAMP '{value}'"
+
     def minutes(self, column: str, n: str) -> str:
         return f"({column} + to_minutes({n}))"
 

@@ -9,8 +9,8 @@ from docfields.operators import lifecycle, merge, responses
 from docfields.sources import documents
 
 # Two extraction results of the same forms: each line item yields a primary and, shifted, a fallback value.
-PRIMARY = "SELECT ok AS entry_id, 'f' || CAST(ln AS {s}) AS field_name, CASE WHEN h % 4 = 0 THEN '' ELSE name_text END AS value, conf AS confidence, 'ai' AS source FROM {t} WHERE h % 9 <> 0"
-FALLBACK = "SELECT ok AS entry_id, 'f' || CAST(ln AS {s}) AS field_name, CASE WHEN h % 5 = 0 THEN '' WHEN h % 5 = 1 THEN '  ' ELSE street_text END AS value, CASE WHEN h % 3 = 0 THEN conf ELSE (pk % 100) / 100.0E0 END AS confidence, 'positional' AS source FROM {t} WHERE h % 8 <> 0"
+PRIMARY = "SELECT ok AS entry_id, 'f' || CAST(ln AS {s}) AS field_name, CASE WHEN h % 4 = 0 THEN '' ELSE name_text END AS value, conf AS confidence, 'ai' AS source FROM {t} WHERE rf <> 'A'"
+FALLBACK = "SELECT ok AS entry_id, 'f' || CAST(ln AS {s}) AS field_name, CASE WHEN h % 5 = 0 THEN '' WHEN h % 5 = 1 THEN '  ' ELSE street_text END AS value, CASE WHEN h % 3 = 0 THEN conf ELSE (pk % 100) / 100.0E0 END AS confidence, 'positional' AS source FROM {t} WHERE rf <> 'N'"
 
 
 def sides(v):
@@ -34,13 +34,12 @@ def _(v):
 
 
 @query("merge_ai_into_deterministic", ["texts"], f"""
-WITH {SIDES}, a AS (SELECT entry_id, field_name, trim(value) AS av, confidence AS ac FROM f WHERE trim(value) <> '')
-SELECT coalesce(p.entry_id, a.entry_id) AS entry_id, coalesce(p.field_name, a.field_name) AS field_name,
-  CASE WHEN t THEN av ELSE p.value END AS value, CASE WHEN t THEN ac ELSE p.confidence END AS confidence,
-  CASE WHEN t THEN 'ai' ELSE 'deterministic' END AS source, CASE WHEN t THEN false ELSE coalesce(p.value, '') = '' END AS unresolved
-FROM (SELECT *, av IS NOT NULL AND (trim(coalesce(pv, '')) = '' OR ac >= coalesce(pc, 0)) AS t FROM
-  (SELECT p.entry_id AS e1, p.field_name AS f1, p.value AS pv, p.confidence AS pc, a.* FROM p FULL JOIN a ON p.entry_id = a.entry_id AND p.field_name = a.field_name)) x
-LEFT JOIN p ON p.entry_id = x.e1 AND p.field_name = x.f1 LEFT JOIN a ON a.entry_id = x.entry_id AND a.field_name = x.field_name""".replace("a.*", "a.entry_id, a.field_name, a.av, a.ac").replace("CASE WHEN t THEN av", "CASE WHEN t THEN x.av").replace("CASE WHEN t THEN ac", "CASE WHEN t THEN x.ac"))
+WITH {SIDES}, a AS (SELECT entry_id, field_name, trim(value) AS av, confidence AS ac FROM f WHERE trim(value) <> ''),
+x AS (SELECT coalesce(p.entry_id, a.entry_id) AS entry_id, coalesce(p.field_name, a.field_name) AS field_name, p.value AS pv,
+    p.confidence AS pc, av, ac, av IS NOT NULL AND (trim(coalesce(p.value, '')) = '' OR ac >= coalesce(p.confidence, 0)) AS t
+  FROM p FULL JOIN a ON p.entry_id = a.entry_id AND p.field_name = a.field_name)
+SELECT entry_id, field_name, CASE WHEN t THEN av ELSE pv END AS value, CASE WHEN t THEN ac ELSE pc END AS confidence,
+  CASE WHEN t THEN 'ai' ELSE 'deterministic' END AS source, NOT t AND coalesce(pv, '') = '' AS unresolved FROM x""")
 def _(v):
     primary, ai = sides(v)
     deterministic = primary.withColumns({"source": F.lit("deterministic"), "unresolved": F.col("value") == ""})
@@ -162,11 +161,10 @@ def _(v):
         F.array_join("requested.name", ",").alias("names"), F.md5("ocr_preview").alias("preview_md5"))
 
 
-@query("reextract_low_confidence", ["fields", "texts"], f"""
-WITH {SIDES}, s AS (SELECT ok AS entry_id, field_name, name_text AS value FROM texts JOIN fields ON entry_id = ok WHERE h % 3 <> 0 AND false)
-SELECT entry_id, field_name, CASE WHEN confidence < 0.7 AND length(field_name) > 10 THEN 'second ' || field_name ELSE ocr_value END AS ocr_value,
-  CASE WHEN confidence < 0.7 AND length(field_name) > 10 THEN 0.85 ELSE confidence END AS confidence,
-  confidence < 0.7 AND length(field_name) > 10 AS reextracted FROM fields""".replace(f"WITH {SIDES}, s AS (SELECT ok AS entry_id, field_name, name_text AS value FROM texts JOIN fields ON entry_id = ok WHERE h % 3 <> 0 AND false)\n", ""))
+@query("reextract_low_confidence", ["fields"], """
+WITH x AS (SELECT *, confidence < 0.7 AND length(field_name) > 10 AS reextracted FROM fields)
+SELECT entry_id, field_name, CASE WHEN reextracted THEN 'second ' || field_name ELSE ocr_value END AS ocr_value,
+  CASE WHEN reextracted THEN 0.85 ELSE confidence END AS confidence, reextracted FROM x""")
 def _(v):
     second = v.fields.select("entry_id", "field_name", F.when(
         F.length("field_name") > 10, F.concat(F.lit("second "), "field_name")).otherwise("").alias("value"))
@@ -262,19 +260,19 @@ def _(v):
 
 
 @query("replace_extraction_fields", ["fields", "texts"], """
-WITH n AS (SELECT ok AS entry_id, 'new' || ln AS field_name, name_text AS ocr_value FROM texts WHERE ok % 3 = 1)
+WITH n AS (SELECT ok AS entry_id, 'new' || ln AS field_name, name_text AS ocr_value FROM texts WHERE rf = 'R')
 SELECT entry_id, field_name, ocr_value FROM fields WHERE entry_id NOT IN (SELECT entry_id FROM n) UNION ALL SELECT * FROM n""")
 def _(v):
     return lifecycle.replace_extraction(v.entries, v.fields, _reprocessed(v))[1].select("entry_id", "field_name", "ocr_value")
 
 
 def _reprocessed(v):
-    return v.texts.filter("ok % 3 = 1").selectExpr(
+    return v.texts.filter("rf = 'R'").selectExpr(
         "ok AS entry_id", "concat('new', ln) AS field_name", "name_text AS ocr_value", "conf AS confidence", "'ai' AS source")
 
 
 @query("replace_extraction_entries", ["entries", "texts"], f"""
-WITH n AS (SELECT ok AS entry_id, {avg4('conf')} AS c, count(*) AS k FROM texts WHERE ok % 3 = 1 GROUP BY 1)
+WITH n AS (SELECT ok AS entry_id, {avg4('conf')} AS c, count(*) AS k FROM texts WHERE rf = 'R' GROUP BY 1)
 SELECT e.entry_id, CASE WHEN n.k IS NULL THEN status ELSE 'extracted' END AS status,
   CASE WHEN n.k IS NULL THEN confidence_score ELSE c END AS confidence_score, n.k AS field_count FROM entries e LEFT JOIN n ON e.entry_id = n.entry_id""")
 def _(v):

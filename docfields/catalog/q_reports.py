@@ -354,7 +354,7 @@ def _(v):
     uploads = v.images.select("path", F.col("entry_id").alias("form_entry_id"), F.col("created_at").alias("uploaded_at"))
     creations = v.entries.selectExpr(
         "entry_id AS form_entry_id", "entry_id",
-        "TIMESTAMP '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,CAST(entry_id % 251 AS INT)) AS created_at")
+        "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,CAST(entry_id % 251 AS INT)) AS created_at")
     return joins.uploads_with_creations(uploads, creations).select("path", "entry_id", "created_at")
 
 

@@ -261,7 +261,7 @@ def _images(d) -> str:
     return f"""
     SELECT 'forms/2024/' || lpad(CAST(doc_id % 12 + 1 AS STRING), 2, '0') || '/' || CAST(doc_id AS STRING) || '/' || source
       || '.txt' AS path, doc_id AS entry_id, doc_id % 3 AS template_id, md5(text) AS md5,
-      {d.minutes("TIMESTAMP '2024-01-01 00:00:00'", 'CAST(doc_id % 240 AS INT)')} AS created_at, text
+      {d.minutes(d.instant('2024-01-01 00:00:00'), 'CAST(doc_id % 240 AS INT)')} AS created_at, text
     FROM {d.table('documents')}"""
 
 

@@ -169,8 +169,8 @@ def reuse_results(images: DataFrame, store: DataFrame, ttl_seconds: int = RESULT
     keys = ["template_id", "md5"]
     others = [c for c in store.columns if c not in [*keys, "stored_at"]]
     newest = store.groupBy(*keys).agg(F.max_by(F.struct("stored_at", *others), "stored_at").alias("_s"))
-    age = F.col("created_at").cast("double") - F.col("_s.stored_at").cast("double")
-    fresh = F.coalesce((age >= 0) & (age < ttl_seconds), F.lit(False))
+    end = F.col("_s.stored_at") + F.make_interval(secs=F.lit(ttl_seconds))
+    fresh = F.coalesce((F.col("created_at") >= F.col("_s.stored_at")) & (F.col("created_at") < end), F.lit(False))
     joined = images.join(newest, keys, "left").withColumn("_fresh", fresh)
     hits = joined.filter("_fresh").select(*images.columns, "_s.stored_at", *[F.col(f"_s.{c}").alias(c) for c in others])
     return hits, joined.filter("not _fresh").select(*images.columns)
