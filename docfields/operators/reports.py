@@ -36,7 +36,8 @@ def _reported(entries: DataFrame, days: int, as_of: datetime | str) -> DataFrame
 
 
 def _round(column: Column, digits: int = 4) -> Column:
-    return F.round(column, digits).cast("double")
+    # Rounding to 12 digits first puts 0.49434999999999996 back on the tie it stands for.
+    return F.round(F.round(column, 12), digits).cast("double")
 
 
 def confidence_report(entries: DataFrame, days: int, as_of: datetime | str) -> DataFrame:
