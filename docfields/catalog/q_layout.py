@@ -358,7 +358,7 @@ def _(v):
 # --- patterns ------------------------------------------------------------------------------------------------
 
 def _texts(v):
-    return v.documents.select(F.col("doc_id").alias("entry_id"), F.col("text").alias("full_text"))
+    return v.spread("documents").select(F.col("doc_id").alias("entry_id"), F.col("text").alias("full_text"))
 
 
 def _wanted(v):

@@ -322,6 +322,8 @@ REQUIRES: dict[str, list[str]] = {
     "post_fields": ["texts"], "bnr_fields": ["texts"],
 }
 _BOXED = {"ocr_lines", "mark_lines"}
+# Text-heavy sources of these views; see Views.spread.
+_SPREAD = {"ocr_lines": "documents", "model_responses": "orders", "images": "documents"}
 
 
 class Views:
@@ -334,6 +336,12 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """The table over all cores. Each given file is one row group and would be one task; a table of a
+        cluster has many splits, for which this adds nothing."""
+        df, cores = self.table(name), self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or (name not in VIEWS and name not in BASE_TABLES):
             raise AttributeError(name)
@@ -348,7 +356,8 @@ class Views:
             return explode_template_fields(self.templates)[0]
         text = VIEWS[name](SPARK)
         used = [t for t in [*BASE_TABLES, *VIEWS] if f"{{{t}}}" in text]
-        df = self.spark.sql(text, **{t: getattr(self, t) for t in used})
+        sources = {t: self.spread(t) if _SPREAD.get(name) == t else getattr(self, t) for t in used}
+        df = self.spark.sql(text, **sources)
         if name in _BOXED:
             df = df.selectExpr(
                 "entry_id", "line_no", "text", "confidence",

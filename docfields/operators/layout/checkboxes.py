@@ -121,17 +121,19 @@ def map_checkboxes(detections: DataFrame, entries: DataFrame, template_fields: D
         found.withColumn("_key", F.lower("name")).join(boxes, ["template_id", "_key"])
         .groupBy("entry_id", "template_id", "field_pos", "field_name").agg(F.min("det_no").alias("det_no"))
     )
-    free = found.join(exact.select("entry_id", "det_no"), ["entry_id", "det_no"], "left_anti").withColumn(
-        "_words", name_tokens(F.col("name")))
-    pairs = free.join(boxes, "template_id")
+    free = found.join(exact.select("entry_id", "det_no"), ["entry_id", "det_no"], "left_anti")
+    # Names repeat from form to form: each distinct (template, name) is compared with the fields once.
+    names = found.select("template_id", "name").distinct().withColumn("_words", name_tokens(F.col("name")))
     shared = F.size(F.array_intersect("_tokens", "_words"))
     by_token = (F.size("_tokens") > 0) & (shared / F.size("_tokens") > TOKEN_OVERLAP)
     by_label = (F.coalesce("label", F.lit("")) != "") & similar(F.col("name"), F.col("label"), LABEL_SIMILARITY)
+    phases = F.array_compact(F.array(F.when(by_token, F.lit(2)), F.when(by_label, F.lit(3))))
+    matches = names.join(boxes, "template_id").select(
+        "template_id", "name", "field_pos", "field_name", F.explode(phases).alias("phase"))
     best = Window.partitionBy("entry_id", "field_pos", "phase").orderBy(F.col("confidence").desc(), "det_no")
     candidates = (
-        pairs.withColumn("_phases", F.array_compact(F.array(
-            F.when(by_token, F.lit(2)), F.when(by_label, F.lit(3)))))
-        .select("entry_id", "field_pos", "field_name", "det_no", "confidence", F.explode("_phases").alias("phase"))
+        free.join(matches, ["template_id", "name"])
+        .select("entry_id", "field_pos", "field_name", "det_no", "confidence", "phase")
         .withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= int(limit))
     )
     taken = exact.select("entry_id", "field_pos")
