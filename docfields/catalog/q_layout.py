@@ -264,20 +264,74 @@ def _(v):
     return anchors.section_lines(v.ocr_lines).select("entry_id", "section", "line_no")
 
 
-# --- regions and check boxes: sequential rules, tested against a plain loop; no SQL ---------------------------
-
-@query("detect_checkbox_groups")
+# --- regions and check boxes ---------------------------------------------------------------------------------
+
+# The sequential rule as a walk over (seed i, candidate j) per entry, one recursion step per decision.
+SHORT = "length(trim(text)) < 20 AND len(regexp_split_to_array(trim(text), '\\s+')) <= 3"
+GROUPS = f"""
+base AS (SELECT entry_id, list(box_top ORDER BY line_no) AS t, list(box_left ORDER BY line_no) AS l, list(box_bottom ORDER BY line_no) AS b,
+    list(box_right ORDER BY line_no) AS r, list({SHORT} ORDER BY line_no) AS s, count(*) AS n FROM mark_lines GROUP BY 1),
+walk AS (
+  SELECT base.*, 1::BIGINT AS i, 1::BIGINT AS j, false AS open, 0.0::DOUBLE AS rb, 0.0::DOUBLE AS rl, 0.0::DOUBLE AS rr,
+    []::BIGINT[] AS used, []::BIGINT[] AS seeds, []::BIGINT[] AS members FROM base
+  UNION ALL
+  SELECT entry_id, t, l, b, r, s, n, CASE WHEN k IN ('skip', 'end') THEN i + 1 ELSE i END, CASE k WHEN 'seed' THEN i + 1 WHEN 'take' THEN j + 1 WHEN 'next' THEN j + 1 ELSE j END,
+    CASE k WHEN 'seed' THEN true WHEN 'end' THEN false ELSE open END, CASE k WHEN 'seed' THEN b[i] WHEN 'take' THEN b[j] ELSE rb END,
+    CASE k WHEN 'seed' THEN l[i] WHEN 'take' THEN l[j] ELSE rl END, CASE k WHEN 'seed' THEN r[i] WHEN 'take' THEN r[j] ELSE rr END,
+    CASE k WHEN 'seed' THEN list_append(used, i) WHEN 'take' THEN list_append(used, j) ELSE used END,
+    CASE k WHEN 'take' THEN list_append(seeds, i) ELSE seeds END, CASE k WHEN 'take' THEN list_append(members, j) ELSE members END
+  FROM (SELECT *, CASE WHEN NOT open THEN CASE WHEN list_contains(used, i) OR NOT s[i] THEN 'skip' ELSE 'seed' END WHEN j > n THEN 'end'
+      WHEN list_contains(used, j) THEN 'next' WHEN t[j] - rb > 30 THEN 'end'
+      WHEN t[j] - rb > -5 AND NOT (r[j] < rl OR l[j] > rr) AND s[j] THEN 'take' ELSE 'next' END AS k FROM walk WHERE i <= n) w),
+pairs AS (SELECT entry_id, unnest(seeds) - 1 AS group_no, unnest(members) - 1 AS line_no FROM walk WHERE i > n),
+groups_ AS (SELECT entry_id, line_no, group_no FROM pairs UNION SELECT entry_id, group_no, group_no FROM pairs)"""
+
+
+@query("detect_checkbox_groups", ["mark_lines"], f"WITH {GROUPS} SELECT entry_id, line_no, group_no FROM groups_", recursive=True)
 def _(v):
     return regions.detect_checkbox_groups(v.mark_lines)
 
 
-@query("classify_regions")
+TITLE = ("length(trim(text)) BETWEEN 2 AND 99 AND regexp_matches(trim(text), '^\\p{L}\\.') AND upper(trim(text)) = trim(text) "
+         "AND lower(trim(text)) <> trim(text)")
+
+
+@query("classify_regions", ["mark_lines"], f"""
+WITH {GROUPS},
+titles AS (SELECT *, 'section_title' AS region_type, line_no AS region_key FROM mark_lines WHERE {TITLE}),
+boxes_ AS (SELECT m.*, 'checkbox_group' AS region_type, group_no AS region_key FROM mark_lines m JOIN groups_ g ON m.entry_id = g.entry_id AND m.line_no = g.line_no),
+rest AS (SELECT m.* FROM mark_lines m WHERE NOT ({TITLE}) AND NOT EXISTS (SELECT 1 FROM groups_ g WHERE g.entry_id = m.entry_id AND g.line_no = m.line_no)),
+gaps AS (SELECT *, CASE WHEN box_top - max(box_bottom) OVER (PARTITION BY entry_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 50 THEN 1 ELSE 0 END AS o FROM rest),
+blocks AS (SELECT * EXCLUDE (o), 'text_field' AS region_type, CAST(sum(o) OVER (PARTITION BY entry_id ORDER BY line_no) AS BIGINT) AS region_key FROM gaps),
+members_ AS (SELECT *, row_number() OVER (PARTITION BY entry_id, region_type, region_key ORDER BY line_no) AS k
+  FROM (SELECT * FROM titles UNION ALL BY NAME SELECT * FROM boxes_ UNION ALL BY NAME SELECT * FROM blocks) u),
+found AS (SELECT entry_id, region_type, min(box_top) AS top, min(line_no) AS first_line, count(*) AS line_count,
+    coalesce(nullif(string_agg(CASE WHEN region_type = 'text_field' THEN CASE WHEN k <= 2 THEN substr(trim(text), 1, 20) END
+      WHEN k <= 3 THEN trim(text) END, ' ' ORDER BY line_no), ''), CASE region_type WHEN 'checkbox_group' THEN 'Checkbox Group' ELSE 'Text Field' END) AS name
+  FROM members_ GROUP BY entry_id, region_type, region_key)
+SELECT entry_id, row_number() OVER (PARTITION BY entry_id ORDER BY top, CASE region_type WHEN 'section_title' THEN 0 WHEN 'checkbox_group' THEN 1 ELSE 2 END, first_line) AS region_no,
+  region_type, name, CAST(CASE region_type WHEN 'section_title' THEN 0.85 WHEN 'checkbox_group' THEN 0.7 ELSE 0.75 END AS DOUBLE) AS confidence, first_line, line_count FROM found""",
+       recursive=True)
 def _(v):
     return regions.classify_regions(v.mark_lines).select(
         "entry_id", "region_no", "region_type", "name", "confidence", "first_line", "line_count")
 
 
-@query("detect_checkboxes")
+STATE = r"""CASE WHEN {c} = '' THEN 'unclear' WHEN regexp_matches({c}, '~|\.{{2,}}|\?') THEN 'unclear'
+    WHEN regexp_matches({c}, '(?i)✓|✔|\bx\b|☑|\|\||█|■|●|\[\s*[x✓✔]\s*\]') THEN 'checked' ELSE 'unchecked' END AS state,
+  CASE WHEN {c} = '' THEN 0.3 WHEN regexp_matches({c}, '~|\.{{2,}}|\?') THEN 0.5
+    WHEN regexp_matches({c}, '(?i)✓|✔|\bx\b|☑|\|\||█|■|●|\[\s*[x✓✔]\s*\]') THEN CASE WHEN length({c}) > 10 THEN 0.88 ELSE 0.92 END
+    WHEN regexp_matches({c}, '☐|○|\[\s*\]|\(\s*\)') THEN 0.85
+    WHEN length({c}) > 2 AND NOT regexp_matches({c}, '[\p{{L}}\p{{N}}]') THEN 0.65 ELSE 0.7 END::DOUBLE AS sconf"""
+LABEL_NAMES = " ".join(f"WHEN '{label}' THEN '{name}'" for label, name in checkboxes.LABEL_FIELDS.items())
+
+
+@query("detect_checkboxes", ["mark_lines"], f"""
+WITH {GROUPS},
+m AS (SELECT l.*, trim(text) AS a, group_no, min(box_top) OVER (PARTITION BY l.entry_id, group_no) AS gtop FROM mark_lines l JOIN groups_ g ON l.entry_id = g.entry_id AND l.line_no = g.line_no),
+s AS (SELECT *, {STATE.format(c='a')} FROM m WHERE a <> '')
+SELECT entry_id, row_number() OVER (PARTITION BY entry_id ORDER BY gtop, group_no, line_no) AS det_no, line_no,
+  CASE a {LABEL_NAMES} ELSE replace(lower(a), ' ', '_') END AS name, state, sconf * confidence AS confidence, a AS anchor_text FROM s""", recursive=True)
 def _(v):
     return checkboxes.detect_checkboxes(v.mark_lines).drop("box")
 
@@ -294,13 +348,8 @@ def _(v):
     return running_sum(below, ["entry_id"], "line_no", opens, "block_no").select("entry_id", "line_no", "block_no")
 
 
-@query("checkbox_state", ["mark_lines"], r"""
-SELECT entry_id, line_no, CASE WHEN text = '' THEN 'unclear' WHEN regexp_matches(text, '~|\.{2,}|\?') THEN 'unclear'
-    WHEN regexp_matches(text, '(?i)✓|✔|\bx\b|☑|\|\||█|■|●|\[\s*[x✓✔]\s*\]') THEN 'checked' ELSE 'unchecked' END AS state,
-  CASE WHEN text = '' THEN 0.3 WHEN regexp_matches(text, '~|\.{2,}|\?') THEN 0.5
-    WHEN regexp_matches(text, '(?i)✓|✔|\bx\b|☑|\|\||█|■|●|\[\s*[x✓✔]\s*\]') THEN CASE WHEN length(text) > 10 THEN 0.88 ELSE 0.92 END
-    WHEN regexp_matches(text, '☐|○|\[\s*\]|\(\s*\)') THEN 0.85
-    WHEN length(text) > 2 AND NOT regexp_matches(text, '[\p{L}\p{N}]') THEN 0.65 ELSE 0.7 END::DOUBLE AS confidence FROM mark_lines""")
+@query("checkbox_state", ["mark_lines"], f"""
+SELECT entry_id, line_no, state, sconf AS confidence FROM (SELECT entry_id, line_no, {STATE.format(c='text')} FROM mark_lines) s""")
 def _(v):
     return v.mark_lines.select("entry_id", "line_no", checkboxes.checkbox_state(F.col("text")).alias("s")).select(
         "entry_id", "line_no", "s.state", "s.confidence")
@@ -338,7 +387,30 @@ def _(v):
     return pairs.filter(checkboxes.similar(F.col("name"), F.col("label"), 0.7)).select("entry_id", "det_no", "field_name")
 
 
-@query("map_checkboxes")
+def _mapping_sql() -> str:
+    """The three phases unrolled: one CTE per (phase, field) in schema order adds at most one pick per entry."""
+    fields = [(name, label) for name, label, kind, _ in SCHEMA_FIELDS if kind == "checkbox"]
+    tokens = lambda c: TOKEN_SQL.format(c=c)
+    ctes = [f"d AS (SELECT x.*, {tokens('x.name')} AS tok FROM detections x JOIN entries e ON x.entry_id = e.entry_id WHERE e.template_id < 23)",
+            "p0 AS (" + " UNION ALL ".join(
+                f"SELECT entry_id, '{name}' AS field_name, min(det_no) AS det_no, 1 AS phase FROM d WHERE lower(name) = '{name}' GROUP BY 1" for name, _ in fields) + ")"]
+    step = 0
+    for phase in (2, 3):
+        for name, label in fields:
+            if phase == 2:
+                fits = (f"len(list_intersect(tok, {tokens(repr(name))})) / len({tokens(repr(name))})::DOUBLE > 0.7")
+            else:
+                fits = (f"(lower(name) = lower('{label}') OR 1.0 - levenshtein(lower(name), lower('{label}')) / greatest(length(name), {len(label)})::DOUBLE >= 0.7)")
+            ctes.append(f"""p{step + 1} AS (SELECT * FROM p{step} UNION ALL SELECT entry_id, '{name}', det_no, {phase} FROM (
+  SELECT d.entry_id, d.det_no, row_number() OVER (PARTITION BY d.entry_id ORDER BY confidence DESC, d.det_no) AS k FROM d
+  WHERE {fits} AND NOT EXISTS (SELECT 1 FROM p{step} u WHERE u.entry_id = d.entry_id AND (u.det_no = d.det_no OR u.field_name = '{name}'))) c WHERE k = 1)""")
+            step += 1
+    return "WITH " + ", ".join(ctes) + f"""
+SELECT p.entry_id, field_name, CASE state WHEN 'checked' THEN 'true' WHEN 'unchecked' THEN 'false' ELSE '' END AS value, confidence,
+  'checkbox_detection' AS source, anchor_text, state, phase, p.det_no FROM p{step} p JOIN d ON p.entry_id = d.entry_id AND p.det_no = d.det_no"""
+
+
+@query("map_checkboxes", ["detections", "entries"], _mapping_sql())
 def _(v):
     return checkboxes.map_checkboxes(v.detections, v.entries, v.template_fields)
 

@@ -40,6 +40,12 @@ def _round(column: Column, digits: int = 4) -> Column:
     return F.round(F.round(column, 12), digits).cast("double")
 
 
+def _side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Columns of two one-row frames in one row, joined on a constant key."""
+    key = F.lit(1).alias("_one")
+    return left.select("*", key).join(right.select("*", key), "_one", "left").drop("_one")
+
+
 def confidence_report(entries: DataFrame, days: int, as_of: datetime | str) -> DataFrame:
     """One row: average, exact quartiles, extremes and the five bin counts of the period."""
     score = F.col("confidence_score")
@@ -56,8 +62,7 @@ def confidence_report(entries: DataFrame, days: int, as_of: datetime | str) -> D
         count_where(score >= 0.95).alias("very_high_count"),
     )
     quartiles = exact_percentiles(base, [], score, {"p25": 0.25, "median_confidence": 0.5, "p75": 0.75})
-    # Both sides hold exactly one row.
-    return totals.join(quartiles, F.lit(True), "left").select(
+    return _side_by_side(totals, quartiles).select(
         "system_confidence", *[_round(F.col(c)).alias(c) for c in ("median_confidence", "p25", "p75")],
         "min_confidence", "max_confidence", "total_entries", "very_low_count", "low_count",
         "medium_count", "high_count", "very_high_count",
@@ -184,7 +189,7 @@ def training_stats(entries: DataFrame, fields: DataFrame) -> DataFrame:
         F.coalesce(exact_avg(F.col("confidence")), F.lit(0.0)).alias("avg_confidence"),
     )
     entry_stats = verified.agg(F.count(F.lit(1)).alias("total_verified_entries"))
-    return entry_stats.join(field_stats, F.lit(True))  # one row each
+    return _side_by_side(entry_stats, field_stats)
 
 
 def training_templates(entries: DataFrame, templates: DataFrame) -> DataFrame:
@@ -290,7 +295,8 @@ def before_after(before: DataFrame, after: DataFrame, keys: list[str] | None = N
             F.coalesce(exact_avg(F.col("confidence")), F.lit(0.0)).alias(f"avg_confidence_{suffix}"),
         )
 
-    return side(before, "before").join(side(after, "after"), keys or F.lit(True), "full_outer" if keys else "inner")
+    left, right = side(before, "before"), side(after, "after")
+    return left.join(right, keys, "full_outer") if keys else _side_by_side(left, right)
 
 
 def source_mix(fields: DataFrame) -> DataFrame:

@@ -114,8 +114,8 @@ def standardize_ocr(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("_fixed", F.when(F.col("_hit"), text.replace_each(value, MISREAD)).otherwise(value))
         .withColumns({
             "_placed": F.when(F.col("_places") > 0, _replace(value, _PLACES)).otherwise(fixed),
-            "_digits": text.digits(fixed),
-            "_bare": F.trim(F.translate(fixed, CURRENCY + ",", "")),
+            "_digits": F.when(kind == "phone", text.digits(fixed)),
+            "_bare": F.when(kind == "amount", F.trim(F.translate(fixed, CURRENCY + ",", ""))),
         })
         # The standard form, NULL where the text is no phone, amount, date or number.
         .withColumn("_standard", F.when(kind == "phone", _phone(F.col("_digits")))

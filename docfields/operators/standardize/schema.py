@@ -39,6 +39,11 @@ def _int(value: Column, pattern: Column | str, group: int) -> Column:
     return F.call_function("regexp_extract", value, pattern, F.lit(group)).try_cast("int")
 
 
+def _limited(value: Column, only: Column | None) -> Column:
+    """NULL on the rows a rule is not meant for, so that its later steps cost nothing there."""
+    return value if only is None else F.when(only, value)
+
+
 def _ymd(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", year, month, day)
 
@@ -57,9 +62,7 @@ def parse_dates(
     ``auto_mdy`` reads it as March 4 unless impossible and wants a spelled date to be the whole text.
     ``only`` limits the work to some rows.
     """
-    text_in = text.strip(F.col(source))
-    used = text_in if only is None else F.when(only, text_in)
-    staged = df.withColumn("_d", used)
+    staged = df.withColumn("_d", _limited(text.strip(F.col(source)), only))
     value = F.col("_d")
     first, second, year = (_int(value, _NUMERIC, g) for g in (1, 2, 3))
     iso = _ymd(*[_int(value, _ISO, g) for g in (1, 2, 3)])
@@ -92,7 +95,7 @@ def parse_dates(
     return staged.withColumn(target, F.nullif(F.regexp_extract(shown, _YEARS, 1), F.lit(""))).drop("_d", "_m", "_p")
 
 
-def parse_phones(df: DataFrame, source: str, target: str) -> DataFrame:
+def parse_phones(df: DataFrame, source: str, target: str, only: Column | None = None) -> DataFrame:
     """Add ``target``: a Philippine mobile number as +639XXXXXXXXX, NULL where there is none."""
     kept = F.col("_k")
     number = (
@@ -104,7 +107,7 @@ def parse_phones(df: DataFrame, source: str, target: str) -> DataFrame:
     # 12 characters, country code 63, mobile prefix 90, 91 or 92.
     shown = F.regexp_extract(F.concat(F.lit("+"), number), r"^(\+639[012].{8})$", 1)
     return (
-        df.withColumn("_k", F.regexp_replace(F.col(source), r"[^0-9+]", ""))
+        df.withColumn("_k", _limited(F.regexp_replace(F.col(source), r"[^0-9+]", ""), only))
         .withColumn(target, F.nullif(shown, F.lit(""))).drop("_k")
     )
 
@@ -117,7 +120,7 @@ def checkbox_value(raw: Column) -> Column:
     return F.coalesce(F.element_at(known, word), F.lit(""))
 
 
-def parse_amounts(df: DataFrame, source: str, target: str) -> DataFrame:
+def parse_amounts(df: DataFrame, source: str, target: str, only: Column | None = None) -> DataFrame:
     """Add ``target``: the amount as X,XXX.XX (at most one currency sign), NULL where there is none."""
     value = F.col("_a")
     signs = F.regexp_count(value, F.lit(f"[{CURRENCY}]")) + F.regexp_count(value, F.lit(r"P(?=[0-9\s])"))
@@ -126,7 +129,7 @@ def parse_amounts(df: DataFrame, source: str, target: str) -> DataFrame:
     number = F.translate(F.regexp_extract(F.col("_b"), pattern, 2), ",", "").try_cast("double")
     sign = F.when(F.col("_b").startswith("-"), "-").otherwise("")
     return (
-        df.withColumn("_a", text.strip(F.col(source))).withColumn("_b", bare)
+        df.withColumn("_a", _limited(text.strip(F.col(source)), only)).withColumn("_b", bare)
         .withColumn(target, F.concat(sign, text.money(number))).drop("_a", "_b")
     )
 
@@ -154,8 +157,8 @@ def standardize_schema(fields: DataFrame, date_order: str = "dmy") -> DataFrame:
     """
     raw, kind = F.col("ocr_value"), F.col("type")
     staged = parse_dates(fields, "ocr_value", "_date", date_order, only=kind == "date")
-    staged = parse_phones(staged, "ocr_value", "_phone")
-    staged = parse_amounts(staged, "ocr_value", "_amount")
+    staged = parse_phones(staged, "ocr_value", "_phone", only=kind == "phone")
+    staged = parse_amounts(staged, "ocr_value", "_amount", only=kind == "amount")
     empty = F.lit("")
     value = (
         F.when(kind == "date", F.coalesce("_date", empty))
