@@ -417,3 +417,9 @@ def _(v):
         "concat('new ', name) AS description", "field_schema", "is_active")
     return template_source.seed_upsert_templates(new, v.templates).select(
         "name", "description", "template_id", "change")
+
+
+@query("newest_users", ["users"], "SELECT user_id, full_name, role FROM users")
+def _(v):
+    dated = v.users.withColumn("created_at", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, CAST(user_id % 300 AS INT))"))
+    return paging.newest_users(dated).select("user_id", "full_name", "role")

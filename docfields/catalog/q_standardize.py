@@ -112,8 +112,8 @@ def typed_fields(v):
     return joins.with_field_schema(fields, v.template_fields, "type", "required")
 
 
-@query("standardize_schema", ["fields", "entries", "template_fields"], f"""
-WITH raws AS (SELECT f.entry_id, f.field_name, f.ocr_value AS raw, f.confidence, t.type, t.required
+SCHEMA_CTES = f"""
+WITH raws AS (SELECT f.entry_id, f.field_name, f.ocr_value AS raw, f.confidence, e.template_id, t.type, t.required
   FROM fields f JOIN entries e ON f.entry_id = e.entry_id
   LEFT JOIN template_fields t ON t.template_id = e.template_id AND t.name = f.field_name),
 {_date_cte('raws', 'dmy')}, {AMOUNT_CTE.format(source='dated')},
@@ -127,7 +127,10 @@ s AS (SELECT *, CASE type WHEN 'date' THEN CASE WHEN value_out = '' THEN -0.2 EL
     WHEN 'phone' THEN CASE WHEN value_out = '' THEN -0.2 ELSE 0.05 END
     WHEN 'checkbox' THEN CASE WHEN value_out <> '' THEN 0.05 WHEN w = '' THEN 0 ELSE -0.05 END
     WHEN 'amount' THEN CASE WHEN value_out = '' THEN -0.2 ELSE 0.08 END ELSE 0 END
-  + CASE WHEN type IS NULL OR NOT required THEN 0 WHEN trim(coalesce(value_out, '')) <> '' THEN 0.05 ELSE -0.25 END AS delta FROM r)
+  + CASE WHEN type IS NULL OR NOT required THEN 0 WHEN trim(coalesce(value_out, '')) <> '' THEN 0.05 ELSE -0.25 END AS delta FROM r)"""
+
+
+@query("standardize_schema", ["fields", "entries", "template_fields"], SCHEMA_CTES + """
 SELECT entry_id, field_name, value_out, CAST(delta AS DOUBLE) AS conf_delta,
   round(greatest(0.0, least(1.0, confidence + CAST(delta AS DOUBLE))), 9) AS conf_out,
   value_out IS DISTINCT FROM raw AS changed FROM s""")
@@ -136,15 +139,21 @@ def _(v):
         "entry_id", "field_name", "value_out", "conf_delta", "conf_out", "changed")
 
 
-@query("before_after_rules", ["fields", "entries", "template_fields"], f"""
-SELECT template_id, count(CASE WHEN coalesce(ocr_value, '') <> '' THEN 1 END) AS filled_before,
-  coalesce({avg4('f.confidence')}, 0.0) AS avg_confidence_before FROM fields f JOIN entries USING (entry_id) GROUP BY 1""")
+@query("before_after_rules", ["fields", "entries", "template_fields"], SCHEMA_CTES + f"""
+SELECT template_id, count(CASE WHEN coalesce(raw, '') <> '' THEN 1 END) AS filled_before, coalesce({avg4('confidence')}, 0.0) AS avg_confidence_before,
+  count(CASE WHEN coalesce(value_out, '') <> '' THEN 1 END) AS filled_after,
+  coalesce({avg4('round(greatest(0.0, least(1.0, confidence + CAST(delta AS DOUBLE))), 9)')}, 0.0) AS avg_confidence_after FROM s GROUP BY 1""")
 def _(v):
     after = std.standardize_schema(typed_fields(v))
     before = after.selectExpr("template_id", "value_in AS value", "conf_in AS confidence")
     rules = after.selectExpr("template_id", "value_out AS value", "conf_out AS confidence")
-    return reports.before_after(before, rules, ["template_id"]).select(
-        "template_id", "filled_before", "avg_confidence_before")
+    return reports.before_after(before, rules, ["template_id"])
+
+
+@query("clamp_confidence", ["texts"], """
+SELECT ok AS entry_id, ln, greatest(0.0, least(1.0, conf * 3 - 1)) AS confidence FROM texts""")
+def _(v):
+    return std.clamp_confidence(v.texts.selectExpr("ok AS entry_id", "ln", "conf * 3 - 1 AS confidence"))
 
 
 # --- profile ocr ---------------------------------------------------------------------------------------------

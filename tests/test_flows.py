@@ -140,3 +140,34 @@ def test_hot_copies_meet_one_store_row(spark):
     hits, misses = lifecycle.reuse_results(images, store)
     assert (hits.count(), misses.count()) == (1000, 2000)
     assert lifecycle.reuse_results(images, store, 60)[0].count() == 0
+
+
+def test_tables_round_trip(spark, tmp_path):
+    from docfields.operators.reports import training_export
+    from docfields.sources.documents import export_training_data
+    from docfields.sources.tables import read_tables, write_table
+
+    entries = spark.createDataFrame([(1, 7, "verified", "i.png"), (2, 8, "archived", "j.png"), (3, 7, "uploaded", "k.png")],
+                                    "entry_id long, template_id long, status string, image_url string")
+    fields = spark.createDataFrame([(1, "a", "x", "y", True, 0.5), (1, "b", None, None, False, 0.6), (2, "a", "x", "x", False, 0.7)],
+                                   "entry_id long, field_name string, ocr_value string, verified_value string, was_corrected boolean, confidence double")
+    for name, df in (("entries", entries), ("fields", fields)):
+        write_table(df, str(tmp_path), name)
+    tables = read_tables(spark, str(tmp_path), ["entries", "fields"])
+    assert tables["entries"].count() == 3 and tables["fields"].columns[0] == "entry_id"
+    templates = spark.createDataFrame([(7, "T7")], "template_id long, name string")
+    export = training_export(tables["entries"], tables["fields"], templates)
+    export_training_data(export, f"{tmp_path}/out")
+    got = {r.entry_id: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got[1].template_name == "T7" and got[2].template_name == "Unknown" and got[1].template_id == 7
+    assert [f.ocr_value for f in got[1].fields] == ["x", ""]
+    assert training_export(tables["entries"], tables["fields"], templates, corrected_only=True).count() == 1
+
+
+def test_detection_documents_read_back(spark, tmp_path):
+    det = spark.createDataFrame([("e1", 0, "a", "checked", 0.91234, (1.0, 2.0, 3.0, 4.0), "A"), ("e1", 1, "b", "unclear", 0.5, None, "B")],
+                                "entry_id string, det_no int, name string, state string, confidence double, "
+                                "box struct<top:double,left:double,bottom:double,right:double>, anchor_text string")
+    documents.detection_documents(det).drop("entry_id").coalesce(1).write.json(f"{tmp_path}/e1")
+    back = documents.read_detections(spark, str(tmp_path)).orderBy("det_no").collect()
+    assert [(r.entry_id, r.name, r.confidence) for r in back] == [("e1", "a", 0.912), ("e1", "b", 0.5)]
