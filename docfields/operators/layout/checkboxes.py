@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfields.functions import text
+from docfields.functions.materialize import materialize
 from docfields.functions.scans import ordered_rank
 from docfields.operators.layout.regions import detect_checkbox_groups
 
@@ -54,8 +55,10 @@ def checkbox_state(column: Column) -> Column:
 
 def detect_checkboxes(lines: DataFrame) -> DataFrame:
     """One detection per non-blank line of a check-box group, numbered in reading order of the groups."""
-    members = lines.join(detect_checkbox_groups(lines), ["entry_id", "line_no"]).withColumn(
-        "anchor_text", text.strip(F.coalesce("text", F.lit(""))))
+    # Written once: the group tops, the rows and their ranks all start from it.
+    members = materialize(lines.join(detect_checkbox_groups(lines), ["entry_id", "line_no"]).select(
+        "entry_id", "line_no", "group_no", "confidence", "box",
+        text.strip(F.coalesce("text", F.lit(""))).alias("anchor_text")))
     tops = members.groupBy("entry_id", "group_no").agg(F.min("box.top").alias("_top"))
     known = F.create_map(*[F.lit(x) for pair in LABEL_FIELDS.items() for x in pair])
     name = F.coalesce(F.element_at(known, F.col("anchor_text")),

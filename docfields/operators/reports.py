@@ -41,9 +41,9 @@ def _round(column: Column, digits: int = 4) -> Column:
 
 
 def _side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Columns of two one-row frames in one row, joined on a constant key."""
-    key = F.lit(1).alias("_one")
-    return left.select("*", key).join(right.select("*", key), "_one", "left").drop("_one")
+    """Columns of two one-row frames in one row: a union of both, reduced by max (which skips NULLs)."""
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def confidence_report(entries: DataFrame, days: int, as_of: datetime | str) -> DataFrame:
