@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfields.functions import text
+from docfields.functions.kernels import ship_by_value
 from docfields.functions.materialize import materialize
 from docfields.functions.scans import ordered_rank, running_max_before, running_sum
 
@@ -17,6 +18,8 @@ TITLE_CONFIDENCE, GROUP_CONFIDENCE, TEXT_CONFIDENCE = 0.85, 0.70, 0.75
 GROUP_GAP, GROUP_OVERLAP, TEXT_GAP = 30.0, -5.0, 50.0
 SHORT_LENGTH, SHORT_WORDS = 20, 3
 
+ship_by_value(__name__)
+
 
 def is_title(column: Column) -> Column:
     """'A. SOMETHING': a letter, a dot, all upper case, 2 to 99 characters."""

@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docfields.functions.kernels import ship_by_value
+
 LATENESS = "1 hour"
 STUCK_SECONDS = 360
 
+ship_by_value(__name__)
+
 
 def parse_progress(messages: DataFrame, column: str = "value") -> DataFrame:
     """JSON messages to (form_id, status, confidence_score, message, ts); both confidence keys are read."""
