@@ -177,7 +177,7 @@ r AS (SELECT w.entry_id, w.field_name, CASE WHEN f.type IN ('checkbox', 'radio')
 SELECT entry_id, field_name, coalesce(val, '') AS value, CASE WHEN val IS NULL THEN 0.0 ELSE conf END AS confidence,
   val IS NULL AS unresolved, n_context FROM r""")
 def _(v):
-    return anchors.extract_template_map(v.entries, v.ocr_lines, v.template_fields).select(
+    return anchors.extract_template_map(v.entries, v.stored("ocr_lines"), v.template_fields).select(
         "entry_id", "field_name", "value", "confidence", "unresolved", F.size("context_lines").alias("n_context"))
 
 
@@ -204,7 +204,7 @@ SELECT e.entry_id, t.name AS field_name, md5(coalesce(trim(txt), '')) AS value_m
 FROM entries e JOIN template_fields t ON e.template_id = t.template_id
 LEFT JOIN vals v ON v.entry_id = e.entry_id AND v.field_name = t.name""")
 def _(v):
-    return positional.extract_by_label_position(v.entries, v.ocr_lines, v.template_fields).select(
+    return positional.extract_by_label_position(v.entries, v.stored("ocr_lines"), v.template_fields).select(
         "entry_id", "field_name", F.md5("value").alias("value_md5"), F.round("confidence", 9).alias("confidence"))
 
 
@@ -220,12 +220,12 @@ SELECT l.entry_id, line_no, {name} FROM ocr_lines l JOIN n ON l.entry_id = n.ent
 
 @query("group_rows", ["ocr_lines"], _groups_sql("top", 15, "row_no"), recursive=True)
 def _(v):
-    return positional.group_rows(v.ocr_lines).select("entry_id", "line_no", "row_no")
+    return positional.group_rows(v.stored("ocr_lines")).select("entry_id", "line_no", "row_no")
 
 
 @query("group_columns", ["ocr_lines"], _groups_sql("left", 50, "column_no"), recursive=True)
 def _(v):
-    return positional.group_columns(v.ocr_lines).select("entry_id", "line_no", "column_no")
+    return positional.group_columns(v.stored("ocr_lines")).select("entry_id", "line_no", "column_no")
 
 
 @query("extract_naive", ["entries", "ocr_lines", "template_fields"], f"""
@@ -240,7 +240,7 @@ SELECT e.entry_id, lab.field_name, md5(coalesce(after, ntext, '')) AS value_md5,
 FROM entries e JOIN lab ON e.template_id = lab.template_id
 LEFT JOIN hits h ON h.entry_id = e.entry_id AND h.field_name = lab.field_name AND h.n = 1""")
 def _(v):
-    return anchors.extract_naive(v.entries, v.ocr_lines, v.template_fields).select(
+    return anchors.extract_naive(v.entries, v.stored("ocr_lines"), v.template_fields).select(
         "entry_id", "field_name", F.md5("ocr_value").alias("value_md5"), "confidence")
 
 
@@ -289,7 +289,7 @@ groups_ AS (SELECT entry_id, line_no, group_no FROM pairs UNION SELECT entry_id,
 
 @query("detect_checkbox_groups", ["mark_lines"], f"WITH {GROUPS} SELECT entry_id, line_no, group_no FROM groups_", recursive=True)
 def _(v):
-    return regions.detect_checkbox_groups(v.mark_lines)
+    return regions.detect_checkbox_groups(v.stored("mark_lines"))
 
 
 TITLE = ("length(trim(text)) BETWEEN 2 AND 99 AND regexp_matches(trim(text), '^\\p{L}\\.') AND upper(trim(text)) = trim(text) "
@@ -313,7 +313,7 @@ SELECT entry_id, row_number() OVER (PARTITION BY entry_id ORDER BY top, CASE reg
   region_type, name, CAST(CASE region_type WHEN 'section_title' THEN 0.85 WHEN 'checkbox_group' THEN 0.7 ELSE 0.75 END AS DOUBLE) AS confidence, first_line, line_count FROM found""",
        recursive=True)
 def _(v):
-    return regions.classify_regions(v.mark_lines).select(
+    return regions.classify_regions(v.stored("mark_lines")).select(
         "entry_id", "region_no", "region_type", "name", "confidence", "first_line", "line_count")
 
 
@@ -333,7 +333,7 @@ s AS (SELECT *, {STATE.format(c='a')} FROM m WHERE a <> '')
 SELECT entry_id, row_number() OVER (PARTITION BY entry_id ORDER BY gtop, group_no, line_no) AS det_no, line_no,
   CASE a {LABEL_NAMES} ELSE replace(lower(a), ' ', '_') END AS name, state, sconf * confidence AS confidence, a AS anchor_text FROM s""", recursive=True)
 def _(v):
-    return checkboxes.detect_checkboxes(v.mark_lines).drop("box")
+    return checkboxes.detect_checkboxes(v.stored("mark_lines")).drop("box")
 
 
 @query("text_blocks", ["ocr_lines"], """

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docfields.catalog.dialects import DUCK, SPARK
+from docfields.functions.materialize import materialize
 from docfields.sources.templates import explode_template_fields
 
 AS_OF = "2001-08-02"
@@ -342,6 +343,13 @@ class Views:
         df, cores = self.table(name), self.spark.sparkContext.defaultParallelism
         return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
+    def stored(self, name: str) -> DataFrame:
+        """The view as a table of its own, as OCR lines would be; for jobs that read it several times."""
+        key = f"stored:{name}"
+        if key not in self._built:
+            self._built[key] = materialize(getattr(self, name))
+        return self._built[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or (name not in VIEWS and name not in BASE_TABLES):
             raise AttributeError(name)

@@ -12,7 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+BLOCK = 4096  # positions per block
+WIDTH = 65536.0  # coordinate units per block: one block for a page, many for a huge entry
 
 
 def _with_carry(
@@ -26,20 +27,21 @@ def _with_carry(
 ) -> tuple[DataFrame, list[str], Column]:
     """Rows joined with ``_carry`` (fold over all earlier blocks) plus the within-block frame."""
     keys = list(keys)
-    # One exchange on (group, block) serves the block totals, the frame inside the block and the join.
-    blocked = df.withColumn("_block", block).repartition(*keys, "_block")
+    blocked = df.withColumn("_block", block)
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # Only groups of several blocks have a carry. Where every group fits one block this side is empty and
+    # AQE drops the join.
     carry = (
         blocked.groupBy(*keys, "_block")
         .agg(total().alias("_total"))
         .withColumn("_carry", fold(F.col("_total")).over(earlier))
-        .drop("_total")
+        .drop("_total").filter("_carry is not null")
     )
     frame = (
         Window.partitionBy(*keys, "_block").orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, frame_end)
     )
-    return blocked.join(carry, [*keys, "_block"]), [*keys, "_block"], frame
+    return blocked.join(carry, [*keys, "_block"], "left"), [*keys, "_block"], frame
 
 
 def running_max_before(
@@ -70,7 +72,7 @@ def running_sum(
 
 
 def ordered_rank(
-    df: DataFrame, keys: Sequence[str], leading: str, order: Sequence[str], name: str, width: float = 512.0
+    df: DataFrame, keys: Sequence[str], leading: str, order: Sequence[str], name: str, width: float = WIDTH
 ) -> DataFrame:
     """Add ``name`` = 1-based row number by ``order``, whose first column is the numeric ``leading``.
 
@@ -86,7 +88,7 @@ def ordered_rank(
 
 
 def previous_value(
-    df: DataFrame, keys: Sequence[str], column: str, name: str, width: float = 512.0
+    df: DataFrame, keys: Sequence[str], column: str, name: str, width: float = WIDTH
 ) -> DataFrame:
     """Add ``name`` = the largest smaller ``column`` of the group (``column`` distinct per group)."""
     rows, _, frame = _with_carry(
@@ -97,7 +99,7 @@ def previous_value(
 
 
 def running_max_through(
-    df: DataFrame, keys: Sequence[str], column: str, value: Column, name: str, width: float = 512.0
+    df: DataFrame, keys: Sequence[str], column: str, value: Column, name: str, width: float = WIDTH
 ) -> DataFrame:
     """Add ``name`` = max(value) over the rows up to this one by the numeric ``column`` (distinct per group)."""
     rows, _, frame = _with_carry(

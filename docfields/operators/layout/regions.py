@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docfields.functions import text
 from docfields.functions.kernels import ship_by_value
 from docfields.functions.materialize import materialize
-from docfields.functions.scans import ordered_rank, running_max_before, running_sum
+from docfields.functions.scans import BLOCK, ordered_rank, running_max_before, running_sum
 
 # Confidence by kind of region, distances in pixels, limits of a box-like line.
 TITLE_CONFIDENCE, GROUP_CONFIDENCE, TEXT_CONFIDENCE = 0.85, 0.70, 0.75
@@ -44,9 +44,14 @@ def _segments(lines: DataFrame) -> DataFrame:
     short = lines.select(
         "entry_id", "line_no", F.col("box.top").alias("top"), F.col("box.left").alias("left"),
         F.col("box.bottom").alias("bottom"), F.col("box.right").alias("right"), is_short(F.col("text")).alias("short"))
-    reach = running_max_before(short, ["entry_id"], "line_no", F.when(F.col("short"), F.col("bottom")), "_reach")
+    # Entries of ordinary size stay whole; if there is no other, AQE skips the scans below.
+    large = lines.groupBy("entry_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BLOCK).select("entry_id")
+    whole = short.join(large, "entry_id", "left_anti").withColumn("segment", F.lit(0).cast("bigint"))
+    big = short.join(large, "entry_id", "left_semi")
+    reach = running_max_before(big, ["entry_id"], "line_no", F.when(F.col("short"), F.col("bottom")), "_reach")
     cut = F.when(F.col("top") - F.col("_reach") > GROUP_GAP, 1).otherwise(0)
-    return running_sum(reach, ["entry_id"], "line_no", cut, "segment").drop("_reach")
+    cut_up = running_sum(reach, ["entry_id"], "line_no", cut.cast("bigint"), "segment").drop("_reach")
+    return whole.unionByName(cut_up)
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,7 +115,7 @@ def region_lines(lines: DataFrame) -> DataFrame:
     grouped = boxed.join(members, ["entry_id", "line_no"]).withColumns(
         {"region_type": F.lit("checkbox_group"), "region_key": F.col("group_no")}).drop("group_no")
     used = members.select("entry_id", "line_no").union(titles.select("entry_id", "line_no"))
-    rest = boxed.join(used, ["entry_id", "line_no"], "left_anti")
+    rest = materialize(boxed.join(used, ["entry_id", "line_no"], "left_anti"))  # scanned twice by each step below
     below = running_max_before(rest, ["entry_id"], "line_no", F.col("box.bottom"), "_bottom")
     opens = F.when(F.col("box.top") - F.col("_bottom") > TEXT_GAP, 1).otherwise(0)
     blocks = running_sum(below, ["entry_id"], "line_no", opens, "region_key").drop("_bottom").withColumn(
@@ -145,8 +150,10 @@ def classify_regions(lines: DataFrame) -> DataFrame:
         .otherwise(TEXT_CONFIDENCE)
     )
     fallback = F.when(kind == "checkbox_group", "Checkbox Group").otherwise("Text Field")
-    rows = bounds.join(names, keys).select(
-        "entry_id", "region_type", F.coalesce(F.nullif("_name", F.lit("")), fallback).alias("name"), "box",
-        confidence.alias("confidence"), "first_line", "line_count", F.col("box.top").alias("_top"),
-        F.when(kind == "section_title", 0).when(kind == "checkbox_group", 1).otherwise(2).alias("_kind"))
-    return ordered_rank(rows, ["entry_id"], "_top", ["_top", "_kind", "first_line"], "region_no").drop("_top", "_kind")
+    placed = bounds.withColumns({
+        "_top": F.col("box.top"),
+        "_kind": F.when(kind == "section_title", 0).when(kind == "checkbox_group", 1).otherwise(2)})
+    ranked = ordered_rank(placed, ["entry_id"], "_top", ["_top", "_kind", "first_line"], "region_no")
+    return ranked.join(names, keys).select(
+        "entry_id", "region_no", "region_type", F.coalesce(F.nullif("_name", F.lit("")), fallback).alias("name"), "box",
+        confidence.alias("confidence"), "first_line", "line_count")
