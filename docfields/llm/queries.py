@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm import near_entries
+from docfields.llm import near_entries, pieces, word_pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,25 @@ def _sha(values: Column) -> Column:
     return F.sha2(F.array_join(values, ","), 256)
 
 
+def _model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encoded_entries(_entries(spark, sf_dir), _model())
+    return coded.select(
+        F.col("entry_id").alias("doc_id"), F.size("token_ids").cast("bigint").alias("n_tokens"),
+        _sha(F.col("token_ids").cast("array<string>")).alias("ids_sha256"),
+        F.sha2("decoded_text", 256).alias("decoded_sha256"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = word_pieces.word_piece_vocabulary([p for p, _, kind in pieces.read_pieces(_model()) if kind == 1])
+    return word_pieces.token_counts(_entries(spark, sf_dir), vocabulary).withColumnRenamed("entry_id", "doc_id")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_entries.near_duplicate_entries(_entries(spark, sf_dir))
     return found.select(
@@ -30,6 +49,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
+    "op8_token_counts": op8_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
