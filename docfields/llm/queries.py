@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm import near_entries, pieces, word_pieces
+from docfields.llm import contamination, near_entries, pieces, word_pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,13 @@ def _sha(values: Column) -> Column:
     return F.sha2(F.array_join(values, ","), 256)
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.benchmark_matches(_entries(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("entry_id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+        _sha(F.array_sort(F.col("item_ids").cast("array<string>"))).alias("items_sha256"), "contaminated")
+
+
 def _model() -> str:
     import public_tokenizers
 
@@ -49,6 +56,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op8_token_counts": op8_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
