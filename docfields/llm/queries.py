@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm import contamination, near_entries, pieces, word_pieces
+from docfields.llm import contamination, near_entries, pieces, quality, word_pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_pieces.token_counts(_entries(spark, sf_dir), vocabulary).withColumnRenamed("entry_id", "doc_id")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("entry_id"), "quality")
+    return quality.quality_scores(_entries(spark, sf_dir), labels).withColumnRenamed("entry_id", "doc_id")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_entries.near_duplicate_entries(_entries(spark, sf_dir))
     return found.select(
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op8_token_counts": op8_token_counts,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
