@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm import contamination, near_entries, pieces, quality, word_pieces
+from docfields.llm import contamination, near_entries, pieces, quality, repeated_lines, word_pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded_text", 256).alias("decoded_sha256"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeated_lines.deduplicated_lines(_entries(spark, sf_dir))
+    return kept.select(F.col("entry_id").alias("doc_id"), F.col("full_text").alias("text"), "n_removed_lines")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = word_pieces.word_piece_vocabulary([p for p, _, kind in pieces.read_pieces(_model()) if kind == 1])
     return word_pieces.token_counts(_entries(spark, sf_dir), vocabulary).withColumnRenamed("entry_id", "doc_id")
@@ -63,6 +68,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_line_dedup": op3_line_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
