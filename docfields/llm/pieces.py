@@ -15,8 +15,8 @@ from docfields.llm.batches import add_columns, append, ragged, slices
 
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
-_CACHED_CHUNKS = 600_000
-_CACHED_PAIRS = 2_000_000
+_CACHED_CHUNKS = 250_000
+_CACHED_PAIRS = 500_000
 _CACHED_LENGTH = 64
 # Piece types of the model format.
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
