@@ -130,3 +130,11 @@ def add_columns(df: DataFrame, ddl: str, make: Callable[[Iterator[pa.RecordBatch
 def append(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     names = [*batch.schema.names, *columns]
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=names)
+
+
+def fixed_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` units of a sequence, by start."""
+    if len(data) < width:
+        return np.zeros(0, np.uint64)
+    sums = RangeHash(data).sums
+    return mix((sums[width:] - sums[:-width]) * _power("down", _INVERSE, len(sums) - width))
