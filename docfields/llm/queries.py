@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm import contamination, near_entries, pieces, quality, repeated_lines, repeated_text, word_pieces
+from docfields.llm import contamination, near_entries, pieces, quality, repeated_lines, repeated_text, vector_search, word_pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest_vectors(
+        _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, key="vec_id", vector="embedding")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = word_pieces.word_piece_vocabulary([p for p, _, kind in pieces.read_pieces(_model()) if kind == 1])
     return word_pieces.token_counts(_entries(spark, sf_dir), vocabulary).withColumnRenamed("entry_id", "doc_id")
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_line_dedup": op3_line_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op6_exact_top_k": op6_exact_top_k,
     "op8_token_counts": op8_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
