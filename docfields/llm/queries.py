@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm import contamination, near_entries, pieces, quality, repeated_lines, repeated_text, vector_search, word_pieces
+from docfields.llm import contamination, near_entries, pieces, quality, repeated_lines, repeated_text, url_rules, vector_search, word_pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, key="vec_id", vector="embedding")
 
 
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("entry_id"), F.col("url").alias("image_url"))
+    return url_rules.judged_urls(pages, URL_RULES).withColumnRenamed("entry_id", "page_id")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = word_pieces.word_piece_vocabulary([p for p, _, kind in pieces.read_pieces(_model()) if kind == 1])
     return word_pieces.token_counts(_entries(spark, sf_dir), vocabulary).withColumnRenamed("entry_id", "doc_id")
@@ -83,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_url_filters": op7_url_filters,
     "op8_token_counts": op8_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
