@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm import contamination, near_entries, pieces, quality, repeated_lines, repeated_text, url_rules, vector_search, word_pieces
+from docfields.llm import contamination, near_entries, pieces, quality, repeated_lines, repeated_passages, repeated_text, url_rules, vector_search, word_pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages.near_duplicate_passages(_entries(spark, sf_dir))
+    return found.withColumnsRenamed({"entry_id": "doc_id", "of_entry_id": "of_doc_id"})
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest_vectors(
         _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, key="vec_id", vector="embedding")
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_line_dedup": op3_line_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_url_filters": op7_url_filters,
     "op8_token_counts": op8_token_counts,
