@@ -250,7 +250,9 @@ def repeated_spans(entries: DataFrame, key: str = "entry_id", text: str = "full_
     rows = entries.select(F.col(key).alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"), F.col(text).alias("_text"))
     found = materialize(_anchor_rows(rows, length))
     often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("hull").alias("a"), F.max("hull").alias("b"))
-    shared = materialize(found.join(often.where("n > 1").select("gram", (F.col("a") < F.col("b")).alias("varied")), "gram"))
+    # Stored, so that the join reads two shuffled tables and can split a gram that is very frequent.
+    often = materialize(often.where("n > 1").select("gram", (F.col("a") < F.col("b")).alias("varied")))
+    shared = materialize(found.join(often, "gram"))
     place = F.struct("_id", "_hash", "at", "first", "last")
     hulls = materialize(shared.groupBy("gram", "hull", "varied").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place")))
     packed = _packed(rows)
