@@ -5,8 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docfields.llm import near_entries
+from docfields.functions.materialize import materialize
+from docfields.llm import contamination, near_entries, pieces, quality, queries, repeated_lines
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects (score below 0.7) go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.good_entries(docs, labels, "doc_id", "text", label_key="doc_id")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated runs of lines go; a document that has no line left was a copy and goes too."""
+    kept = repeated_lines.deduplicated_lines(docs, "doc_id", "text")
+    kept = kept.where((F.col("n_removed_lines") == 0) | (F.col("text") != "")).drop("n_removed_lines")
+    return kept.withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,16 +29,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return near_entries.representatives(docs, "doc_id", "text")
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return contamination.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "text")
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document and what they decode to."""
+    coded = pieces.with_decoded_text(pieces.with_token_ids(docs, queries.model_path(), "text"), queries.model_path())
+    return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", "decoded_text")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_filter", quality_filter),
+    ("line_dedup", line_dedup),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("token_ids", token_ids),
 ]
 
-# The stages compute hashes, models and token ids that SQL cannot express.
+# The stages compute a model, hashes of runs and token ids, which SQL cannot express.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each result stored and read again as the input of the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

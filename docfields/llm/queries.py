@@ -29,14 +29,14 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         _sha(F.array_sort(F.col("item_ids").cast("array<string>"))).alias("items_sha256"), "contaminated")
 
 
-def _model() -> str:
+def model_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = pieces.encoded_entries(_entries(spark, sf_dir), _model())
+    coded = pieces.encoded_entries(_entries(spark, sf_dir), model_path())
     return coded.select(
         F.col("entry_id").alias("doc_id"), F.size("token_ids").cast("bigint").alias("n_tokens"),
         _sha(F.col("token_ids").cast("array<string>")).alias("ids_sha256"),
@@ -74,7 +74,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = word_pieces.word_piece_vocabulary([p for p, _, kind in pieces.read_pieces(_model()) if kind == 1])
+    vocabulary = word_pieces.word_piece_vocabulary([p for p, _, kind in pieces.read_pieces(model_path()) if kind == 1])
     return word_pieces.token_counts(_entries(spark, sf_dir), vocabulary).withColumnRenamed("entry_id", "doc_id")
 
 

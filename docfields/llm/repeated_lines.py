@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docfields.functions.materialize import materialize
 from docfields.llm.batches import RangeHash, append, mix, ragged, slices, text_bytes, window_min
 
 
@@ -78,7 +79,9 @@ def repeated_runs(entries: DataFrame, key: str = "entry_id", text: str = "full_t
     marked = _marked(rows, width)
     place = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_hash", "start")
     first = marked.groupBy("mark", "run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    both = marked.join(first.select("mark", "run", "first"), ["mark", "run"])
+    # Stored, so that the join reads two shuffled tables and can split a run that is very frequent.
+    first = materialize(first.select("mark", "run", "first"))
+    both = marked.join(first, ["mark", "run"])
     return both.where(place > F.col("first")).select("_id", "_hash", "start", "size")
 
 
