@@ -42,6 +42,9 @@ SELECT entry_id, field_name, CASE WHEN t THEN av ELSE pv END AS value, CASE WHEN
   CASE WHEN t THEN 'ai' ELSE 'deterministic' END AS source, NOT t AND coalesce(pv, '') = '' AS unresolved FROM x""")
 def _(v):
     primary, ai = sides(v)
+    # Every answer comes in two passes; the second one counts.
+    first = ai.withColumns({"value": F.lit("first pass"), "pass_no": F.lit(1)})
+    ai = first.join(ai.where("trim(value) <> ''"), ["entry_id", "field_name"], "left_semi").unionByName(ai.withColumn("pass_no", F.lit(2)))
     deterministic = primary.withColumns({"source": F.lit("deterministic"), "unresolved": F.col("value") == ""})
     return merge.merge_ai_into_deterministic(deterministic, ai.drop("source"))
 
@@ -114,12 +117,12 @@ def _(v):
 
 
 @query("parse_wrapped_responses", ["texts"], """
-SELECT ok AS entry_id, ln, 'first_name' AS field_name, replace(name_text, '"', '') AS value, CAST(h % 100 AS VARCHAR) AS confidence_raw
+SELECT ok AS entry_id, ln, 'first_name' AS field_name, replace(name_text, '"', '') AS value, CASE WHEN h % 5 = 2 THEN '"' || CAST(h % 100 AS VARCHAR) || '"' ELSE CAST(h % 100 AS VARCHAR) END AS confidence_raw
 FROM texts WHERE h % 5 <> 4""")
 def _(v):
-    wrapped = F.concat(F.lit('{"fields": {"first_name": {"value": "'), "name_text", F.lit('", "confidence": '),
-                       (F.col("h") % 100).cast("string"), F.lit("}}}"))
-    kind = F.col("h") % 5
+    kind, quote = F.col("h") % 5, F.when(F.col("h") % 5 == 2, '"').otherwise("")
+    wrapped = F.concat(F.lit('{"fields": {"first_name": {"value": "'), "name_text", F.lit('", "confidence": '), quote,
+                       (F.col("h") % 100).cast("string"), quote, F.lit("}}}"))
     body = F.when(kind == 0, F.concat(F.lit("Sure:\n```json\n"), wrapped, F.lit("\n```\nDone"))).when(
         kind == 1, F.concat(F.lit("```\n"), wrapped, F.lit("\n```"))).when(kind == 4, "no json").otherwise(wrapped)
     rows = v.texts.select(F.col("ok").alias("entry_id"), "ln", body.alias("response_text"))
@@ -149,15 +152,15 @@ def _(v):
 WITH u AS (SELECT e.entry_id, t.name, t.field_pos, row_number() OVER (PARTITION BY e.entry_id ORDER BY t.field_pos) AS n
   FROM entries e JOIN template_fields t USING (template_id) JOIN fields f ON f.entry_id = e.entry_id AND f.field_name = t.name AND f.confidence < 0.5),
 b AS (SELECT entry_id, CAST(floor((n - 1) / 30) AS BIGINT) AS batch_no, count(*) AS n_fields, string_agg(name, ',' ORDER BY field_pos) AS names FROM u GROUP BY 1, 2),
-p AS (SELECT entry_id, string_agg('- ' || text || ' (conf=' || format('{:.2f}', confidence) || ')', chr(10) ORDER BY line_no) AS preview
-  FROM ocr_lines WHERE line_no < 80 GROUP BY 1)
-SELECT b.entry_id, batch_no, n_fields, names, md5(coalesce(preview, '')) AS preview_md5 FROM b LEFT JOIN p USING (entry_id)""")
+p AS (SELECT entry_id, CAST(floor(line_no / 80) AS BIGINT) AS preview_no, string_agg('- ' || text || ' (conf=' || format('{:.2f}', confidence) || ')', chr(10) ORDER BY line_no) AS preview
+  FROM ocr_lines GROUP BY 1, 2)
+SELECT b.entry_id, batch_no, coalesce(preview_no, 0) AS preview_no, n_fields, names, md5(coalesce(preview, '')) AS preview_md5 FROM b LEFT JOIN p USING (entry_id)""")
 def _(v):
     fields = v.fields.join(v.entries.select("entry_id", "template_id"), "entry_id").select(
         "entry_id", "template_id", "field_name", (F.col("confidence") < 0.5).alias("unresolved"),
         F.array("ocr_value").alias("context_lines"))
     return responses.resolution_requests(fields, v.template_fields, v.ocr_lines).select(
-        "entry_id", "batch_no", F.size("requested").cast("bigint").alias("n_fields"),
+        "entry_id", "batch_no", "preview_no", F.size("requested").cast("bigint").alias("n_fields"),
         F.array_join("requested.name", ",").alias("names"), F.md5("ocr_preview").alias("preview_md5"))
 
 
@@ -168,6 +171,8 @@ SELECT entry_id, field_name, CASE WHEN reextracted THEN 'second ' || field_name
 def _(v):
     second = v.fields.select("entry_id", "field_name", F.when(
         F.length("field_name") > 10, F.concat(F.lit("second "), "field_name")).otherwise("").alias("value"))
+    second = second.withColumn("pass_no", F.lit(2)).unionByName(
+        second.where("value <> ''").withColumns({"value": F.lit("z"), "pass_no": F.lit(1)}))
     return responses.reextract_low_confidence(v.fields, second).select(
         "entry_id", "field_name", "ocr_value", "confidence", "reextracted")
 
@@ -198,12 +203,17 @@ def _(v):
     return done["fields"].select("entry_id", "field_name", "verified_value", "was_corrected")
 
 
-@query("apply_verifications_entries", ["entries", "users"], f"""
-WITH {CHECKED} SELECT e.entry_id, CASE WHEN reason IS NULL THEN 'verified' ELSE e.status END AS status,
-  CASE WHEN reason IS NULL THEN verifier_id ELSE verified_by END AS verified_by FROM entries e JOIN d ON e.entry_id = d.entry_id""")
+@query("apply_verifications_entries", ["entries", "users", "verification_fields"], f"""
+WITH {CHECKED}, n AS (SELECT entry_id, string_agg(field_name || '=' || new_value, ',' ORDER BY field_name) AS given FROM verification_fields GROUP BY 1)
+SELECT e.entry_id, CASE WHEN reason IS NULL THEN 'verified' ELSE e.status END AS status,
+  CASE WHEN reason IS NULL THEN verifier_id ELSE verified_by END AS verified_by,
+  CASE WHEN reason IS NULL THEN given ELSE 'before=' || e.entry_id END AS verified_data
+FROM entries e JOIN d ON e.entry_id = d.entry_id JOIN n ON n.entry_id = e.entry_id""")
 def _(v):
-    done = lifecycle.apply_verifications(v.entries.withColumn("verified_data", F.lit(None)), v.fields, verifications(v), v.users)
-    return done["entries"].select("entry_id", "status", "verified_by")
+    before = v.entries.withColumn("verified_data", F.create_map(F.lit("before"), F.col("entry_id").cast("string")))
+    done = lifecycle.apply_verifications(before, v.fields, verifications(v), v.users)
+    shown = F.transform(F.array_sort(F.map_entries("verified_data")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return done["entries"].select("entry_id", "status", "verified_by", F.array_join(shown, ",").alias("verified_data"))
 
 
 @query("apply_verifications_rejects", ["entries", "users"],
@@ -316,21 +326,21 @@ def store(v):
     return v.images.selectExpr("template_id", "md5", "created_at - INTERVAL 10 MINUTES AS stored_at", "concat('r', entry_id) AS result")
 
 
-STORE = """s AS (SELECT template_id, md5, max(created_at) - INTERVAL 10 MINUTE AS stored_at FROM images GROUP BY 1, 2)"""
+STORE = """s AS (SELECT DISTINCT template_id, md5, created_at - INTERVAL 10 MINUTE AS stored_at FROM images),
+m AS (SELECT i.entry_id, i.md5, i.created_at, s.stored_at FROM images i ASOF LEFT JOIN s
+  ON i.template_id = s.template_id AND i.md5 = s.md5 AND i.created_at >= s.stored_at)"""
 
 
 @query("reuse_results_hits", ["images"], f"""
-WITH {STORE} SELECT i.entry_id, i.md5, s.stored_at FROM images i JOIN s USING (template_id, md5)
-WHERE i.created_at >= s.stored_at AND i.created_at < s.stored_at + INTERVAL 30 MINUTE""")
+WITH {STORE} SELECT entry_id, md5, stored_at FROM m WHERE created_at < stored_at + INTERVAL 9 MINUTE""")
 def _(v):
-    return lifecycle.reuse_results(v.images.drop("text"), store(v), 1800)[0].select("entry_id", "md5", "stored_at")
+    return lifecycle.reuse_results(v.images.drop("text"), store(v), 540)[0].select("entry_id", "md5", "stored_at")
 
 
 @query("reuse_results_misses", ["images"], f"""
-WITH {STORE} SELECT i.entry_id, i.md5 FROM images i JOIN s USING (template_id, md5)
-WHERE NOT (i.created_at >= s.stored_at AND i.created_at < s.stored_at + INTERVAL 30 MINUTE)""")
+WITH {STORE} SELECT entry_id, md5 FROM m WHERE coalesce(created_at >= stored_at + INTERVAL 9 MINUTE, true)""")
 def _(v):
-    return lifecycle.reuse_results(v.images.drop("text"), store(v), 1800)[1].select("entry_id", "md5")
+    return lifecycle.reuse_results(v.images.drop("text"), store(v), 540)[1].select("entry_id", "md5")
 
 
 @query("invalidate_results", ["images"], "SELECT template_id, count(*) AS n FROM images WHERE template_id <> 1 GROUP BY 1")

@@ -303,11 +303,9 @@ boxes_ AS (SELECT m.*, 'checkbox_group' AS region_type, group_no AS region_key F
 rest AS (SELECT m.* FROM mark_lines m WHERE NOT ({TITLE}) AND NOT EXISTS (SELECT 1 FROM groups_ g WHERE g.entry_id = m.entry_id AND g.line_no = m.line_no)),
 gaps AS (SELECT *, CASE WHEN box_top - max(box_bottom) OVER (PARTITION BY entry_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 50 THEN 1 ELSE 0 END AS o FROM rest),
 blocks AS (SELECT * EXCLUDE (o), 'text_field' AS region_type, CAST(sum(o) OVER (PARTITION BY entry_id ORDER BY line_no) AS BIGINT) AS region_key FROM gaps),
-members_ AS (SELECT *, row_number() OVER (PARTITION BY entry_id, region_type, region_key ORDER BY line_no) AS k
-  FROM (SELECT * FROM titles UNION ALL BY NAME SELECT * FROM boxes_ UNION ALL BY NAME SELECT * FROM blocks) u),
+members_ AS (SELECT * FROM titles UNION ALL BY NAME SELECT * FROM boxes_ UNION ALL BY NAME SELECT * FROM blocks),
 found AS (SELECT entry_id, region_type, min(box_top) AS top, min(line_no) AS first_line, count(*) AS line_count,
-    coalesce(nullif(string_agg(CASE WHEN region_type = 'text_field' THEN CASE WHEN k <= 2 THEN substr(trim(text), 1, 20) END
-      WHEN k <= 3 THEN trim(text) END, ' ' ORDER BY line_no), ''), CASE region_type WHEN 'checkbox_group' THEN 'Checkbox Group' ELSE 'Text Field' END) AS name
+    coalesce(nullif(string_agg(trim(text), ' ' ORDER BY line_no), ''), CASE region_type WHEN 'checkbox_group' THEN 'Checkbox Group' ELSE 'Text Field' END) AS name
   FROM members_ GROUP BY entry_id, region_type, region_key)
 SELECT entry_id, row_number() OVER (PARTITION BY entry_id ORDER BY top, CASE region_type WHEN 'section_title' THEN 0 WHEN 'checkbox_group' THEN 1 ELSE 2 END, first_line) AS region_no,
   region_type, name, CAST(CASE region_type WHEN 'section_title' THEN 0.85 WHEN 'checkbox_group' THEN 0.7 ELSE 0.75 END AS DOUBLE) AS confidence, first_line, line_count FROM found""",

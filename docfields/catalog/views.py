@@ -54,11 +54,15 @@ FIELDS_JSON = ", ".join(_field_json(*f) for f in SCHEMA_FIELDS)
 
 
 def _li(d) -> str:
+    """Every line item. The source repeats (order, number), so items are numbered anew by all their columns; after
+    seven the kinds of value start again, and names get the number of the repetition (``rep``)."""
     return f"""
-    SELECT l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS ln, min(l_partkey) AS pk, min(l_suppkey) AS sk,
-      CAST(min(l_quantity) AS BIGINT) AS qty, CAST(round(min(l_extendedprice) * 100) AS BIGINT) AS cents,
-      min(l_returnflag) AS rf, min(l_shipdate) AS sd
-    FROM {d.table('lineitem')} GROUP BY 1, 2"""
+    SELECT ok, ln, (ln - 1) % 7 + 1 AS kind, CAST(floor((ln - 1) / 7) AS BIGINT) AS rep, pk, sk, qty, cents, rf, sd
+    FROM (SELECT l_orderkey AS ok, l_partkey AS pk, l_suppkey AS sk, CAST(l_quantity AS BIGINT) AS qty,
+        CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_returnflag AS rf, l_shipdate AS sd,
+        CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+          l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS BIGINT) AS ln
+      FROM {d.table('lineitem')}) i"""
 
 
 def _texts(d) -> str:
@@ -92,7 +96,7 @@ def _texts(d) -> str:
         WHEN 2 THEN 'nr0' || substr(sub, 1, 6) || '9' WHEN 3 THEN 'ABC-' || sub
         WHEN 4 THEN substr(sub, 1, 3) || '-' || substr(sub, 4, 3) || '-' || substr(sub, 6, 3)
         ELSE sub || substr(sub, 1, 4) END AS number_text
-    FROM (SELECT ok, ln, pk, sk, qty, cents, rf, sd, pk * 7 + qty AS h, {sub} AS sub,
+    FROM (SELECT ok, ln, kind, rep, pk, sk, qty, cents, rf, sd, pk * 7 + qty AS h, {sub} AS sub,
             CAST((pk * 37 + qty * 101) % 10001 AS BIGINT) / 10000.0E0 AS conf FROM {d.table('li')}) t"""
 
 
@@ -139,13 +143,16 @@ def _entries(d) -> str:
     FROM {d.table('orders')}"""
 
 
+REPEATED = " || CASE WHEN rep > 0 THEN '_' || CAST(rep + 1 AS STRING) ELSE '' END"
+
+
 def _field_name(d) -> str:
     names = [f[0] for f in SCHEMA_FIELDS[:7]]
-    return "CASE ln " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names, 1)) + " END"
+    return "CASE kind " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names, 1)) + f" END{REPEATED}"
 
 
 def _fields(d) -> str:
-    value = ("CASE ln WHEN 1 THEN date_text WHEN 2 THEN phone_text WHEN 3 THEN amount_text WHEN 4 THEN mark_text "
+    value = ("CASE kind WHEN 1 THEN date_text WHEN 2 THEN phone_text WHEN 3 THEN amount_text WHEN 4 THEN mark_text "
              "WHEN 5 THEN name_text WHEN 6 THEN street_text ELSE number_text END")
     return f"""
     SELECT entry_id, field_name, ocr_value,
@@ -277,11 +284,11 @@ def _verification_fields(d) -> str:
 def _post_fields(d) -> str:
     part = ("CASE h % 5 WHEN 0 THEN '199O' WHEN 1 THEN '85' WHEN 2 THEN 'l3' WHEN 3 THEN '2' ELSE 'abc' END")
     return f"""
-    SELECT ok AS entry_id, CASE ln WHEN 1 THEN 'first_name'
+    SELECT ok AS entry_id, CASE kind WHEN 1 THEN 'first_name'
         WHEN 2 THEN CASE h % 3 WHEN 0 THEN 'birth_year' WHEN 1 THEN 'birth_month' ELSE 'birth_day' END
         WHEN 3 THEN 'biz_mobile' WHEN 4 THEN 'owners_tin' WHEN 5 THEN 'biz_street' WHEN 6 THEN 'asset'
-        ELSE CASE h % 2 WHEN 0 THEN 'employees_total' ELSE 'notes' END END AS field_name,
-      CASE ln WHEN 1 THEN name_text WHEN 2 THEN {part} WHEN 3 THEN phone_text WHEN 4 THEN number_text
+        ELSE CASE h % 2 WHEN 0 THEN 'employees_total' ELSE 'notes' END END{REPEATED} AS field_name,
+      CASE kind WHEN 1 THEN name_text WHEN 2 THEN {part} WHEN 3 THEN phone_text WHEN 4 THEN number_text
         WHEN 5 THEN street_text WHEN 6 THEN amount_text ELSE CASE h % 3 WHEN 0 THEN CAST(qty AS STRING) || ' pax'
           WHEN 1 THEN '  l5 , 6 . ' ELSE 'none' END END AS value,
       conf AS confidence FROM {d.table('texts')}"""
@@ -289,10 +296,10 @@ def _post_fields(d) -> str:
 
 def _bnr_fields(d) -> str:
     return f"""
-    SELECT ok AS entry_id, CASE ln WHEN 1 THEN 'dob_year' WHEN 2 THEN 'dob_day' WHEN 3 THEN 'biz_house_building'
+    SELECT ok AS entry_id, CASE kind WHEN 1 THEN 'dob_year' WHEN 2 THEN 'dob_day' WHEN 3 THEN 'biz_house_building'
         WHEN 4 THEN 'biz_city_municipality' WHEN 5 THEN 'first_name' WHEN 6 THEN 'suffix' ELSE 'activity_service' END
-        AS field_name,
-      CASE ln WHEN 1 THEN CASE h % 5 WHEN 0 THEN 'I985' WHEN 1 THEN '85' WHEN 2 THEN '4O' WHEN 3 THEN 'abc' ELSE '2001' END
+        {REPEATED} AS field_name,
+      CASE kind WHEN 1 THEN CASE h % 5 WHEN 0 THEN 'I985' WHEN 1 THEN '85' WHEN 2 THEN '4O' WHEN 3 THEN 'abc' ELSE '2001' END
         WHEN 2 THEN CASE h % 4 WHEN 0 THEN '7' WHEN 1 THEN '32' WHEN 2 THEN '15th' ELSE 'x' END
         WHEN 3 THEN street_text
         WHEN 4 THEN CASE h % 5 WHEN 0 THEN 'Manila' WHEN 1 THEN 'city of iloilo' WHEN 2 THEN 'QUEZON' WHEN 3 THEN ''
@@ -301,9 +308,10 @@ def _bnr_fields(d) -> str:
         ELSE mark_text END AS value,
       conf AS confidence, CASE WHEN sk % 3 = 0 THEN 'checkbox_detection' ELSE 'ai' END AS source FROM {d.table('texts')}
     UNION ALL
-    SELECT ok, CASE ln WHEN 1 THEN 'dob_month' WHEN 2 THEN 'certificate_no' WHEN 3 THEN 'biz_street'
-        WHEN 4 THEN 'biz_province' WHEN 5 THEN 'last_name' WHEN 6 THEN 'capitalization' ELSE 'biz_phone' END,
-      CASE ln WHEN 1 THEN CASE h % 4 WHEN 0 THEN 'I' WHEN 1 THEN 'S' WHEN 2 THEN '13' ELSE 'May' END
+    SELECT ok, CASE kind WHEN 1 THEN 'dob_month' WHEN 2 THEN 'certificate_no' WHEN 3 THEN 'biz_street'
+        WHEN 4 THEN 'biz_province' WHEN 5 THEN 'last_name' WHEN 6 THEN 'capitalization' ELSE 'biz_phone' END
+        {REPEATED},
+      CASE kind WHEN 1 THEN CASE h % 4 WHEN 0 THEN 'I' WHEN 1 THEN 'S' WHEN 2 THEN '13' ELSE 'May' END
         WHEN 2 THEN number_text WHEN 3 THEN street_text WHEN 4 THEN CASE WHEN h % 2 = 0 THEN 'Cavite' ELSE '' END
         WHEN 5 THEN CASE qty % 3 WHEN 0 THEN 'DELA CRUZ' WHEN 1 THEN 's4ntos' ELSE '' END
         WHEN 6 THEN amount_text ELSE phone_text END,
@@ -339,9 +347,8 @@ class Views:
 
     def spread(self, name: str) -> DataFrame:
         """The table over all cores. Each given file is one row group and would be one task; a table of a
-        cluster has many splits, for which this adds nothing."""
-        df, cores = self.table(name), self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+        cluster is dealt out in the same way."""
+        return self.table(name).repartition(self.spark.sparkContext.defaultParallelism)
 
     def stored(self, name: str) -> DataFrame:
         """The view as a table of its own, as OCR lines would be; for jobs that read it several times."""

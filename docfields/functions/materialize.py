@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from docfields.session import checkpoint_dir
 
+_written: list[str] = []
+
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back.
@@ -19,4 +21,15 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/docfields-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables this driver has written, once no result that reads them is needed; returns their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docfields.functions import text
 from docfields.functions.kernels import ship_by_value
 from docfields.functions.materialize import materialize
-from docfields.functions.scans import BLOCK, ordered_rank, running_max_before, running_sum
+from docfields.functions.scans import ordered_rank, running_max_before, running_sum
 
 # Confidence by kind of region, distances in pixels, limits of a box-like line.
 TITLE_CONFIDENCE, GROUP_CONFIDENCE, TEXT_CONFIDENCE = 0.85, 0.70, 0.75
@@ -44,14 +44,9 @@ def _segments(lines: DataFrame) -> DataFrame:
     short = lines.select(
         "entry_id", "line_no", F.col("box.top").alias("top"), F.col("box.left").alias("left"),
         F.col("box.bottom").alias("bottom"), F.col("box.right").alias("right"), is_short(F.col("text")).alias("short"))
-    # Entries of ordinary size stay whole; if there is no other, AQE skips the scans below.
-    large = lines.groupBy("entry_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BLOCK).select("entry_id")
-    whole = short.join(large, "entry_id", "left_anti").withColumn("segment", F.lit(0).cast("bigint"))
-    big = short.join(large, "entry_id", "left_semi")
-    reach = running_max_before(big, ["entry_id"], "line_no", F.when(F.col("short"), F.col("bottom")), "_reach")
+    reach = running_max_before(short, ["entry_id"], "line_no", F.when(F.col("short"), F.col("bottom")), "_reach")
     cut = F.when(F.col("top") - F.col("_reach") > GROUP_GAP, 1).otherwise(0)
-    cut_up = running_sum(reach, ["entry_id"], "line_no", cut.cast("bigint"), "segment").drop("_reach")
-    return whole.unionByName(cut_up)
+    return running_sum(reach, ["entry_id"], "line_no", cut.cast("bigint"), "segment").drop("_reach")
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,26 +119,22 @@ def region_lines(lines: DataFrame) -> DataFrame:
 
 
 def classify_regions(lines: DataFrame) -> DataFrame:
-    """One row per region, numbered from the top of each entry (ties: titles, groups, text; then line)."""
+    """One row per region, numbered from the top of each entry (ties: titles, groups, text; then line).
+
+    A region is named by its whole text, one line after the other; like the full text of an entry this is one value.
+    """
     members = materialize(region_lines(lines).select(
         "entry_id", "region_type", "region_key", "line_no", "text", "box"))
     keys = ["entry_id", "region_type", "region_key"]
+    value = text.strip(F.coalesce("text", F.lit("")))
+    said = F.array_sort(F.collect_list(F.struct("line_no", value.alias("p"))))
     bounds = members.groupBy(*keys).agg(
         F.struct(F.min("box.top").alias("top"), F.min("box.left").alias("left"),
                  F.max("box.bottom").alias("bottom"), F.max("box.right").alias("right")).alias("box"),
         F.min("line_no").alias("first_line"),
         F.count(F.lit(1)).alias("line_count"),
+        F.array_join(F.transform(said, lambda s: s["p"]), " ").alias("_name"),
     )
-    # rank <= 3 is pruned before the shuffle, so naming a region never moves all its lines.
-    first = members.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("line_no"))).filter("_n <= 3")
-    value = text.strip(F.coalesce("text", F.lit("")))
-    piece = (
-        F.when(F.col("region_type") == "text_field", F.when(F.col("_n") <= 2, F.substring(value, 1, 20)))
-        .otherwise(value)
-    )
-    names = first.groupBy(*keys).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.when(piece.isNotNull(), F.struct("_n", piece.alias("p"))))),
-        lambda s: s["p"]), " ").alias("_name"))
     kind = F.col("region_type")
     confidence = (
         F.when(kind == "section_title", TITLE_CONFIDENCE).when(kind == "checkbox_group", GROUP_CONFIDENCE)
@@ -154,6 +145,6 @@ def classify_regions(lines: DataFrame) -> DataFrame:
         "_top": F.col("box.top"),
         "_kind": F.when(kind == "section_title", 0).when(kind == "checkbox_group", 1).otherwise(2)})
     ranked = ordered_rank(placed, ["entry_id"], "_top", ["_top", "_kind", "first_line"], "region_no")
-    return ranked.join(names, keys).select(
+    return ranked.select(
         "entry_id", "region_no", "region_type", F.coalesce(F.nullif("_name", F.lit("")), fallback).alias("name"), "box",
         confidence.alias("confidence"), "first_line", "line_count")

@@ -61,10 +61,11 @@ def apply_verifications(
     last = accepted.groupBy("entry_id").agg(
         F.max_by(F.struct("verifier_id", "verified_fields"), F.struct("ts", "verifier_id")).alias("_last"))
     done = F.col("_last").isNotNull()
+    before = F.col("verified_data") if "verified_data" in entries.columns else F.lit(None)
     new_entries = entries.join(last, "entry_id", "left").withColumns({
         "status": F.when(done, "verified").otherwise(F.col("status")),
         "verified_by": F.when(done, F.col("_last.verifier_id")).otherwise(F.col("verified_by")),
-        "verified_data": F.when(done, F.col("_last.verified_fields")),
+        "verified_data": F.when(done, F.col("_last.verified_fields")).otherwise(before),
     }).drop("_last")
     audit = accepted.select(
         F.col("verifier_id").alias("user_id"), F.lit("verify").alias("action"), F.lit("form_entry").alias("entity_type"),
@@ -126,6 +127,7 @@ def classify_errors(errors: DataFrame) -> DataFrame:
     def during(before: str, after: str = "") -> Column:
         return F.concat(F.lit(f"{before} during "), stage, F.lit(after))
 
+    # Order, words and reasons of the rules.
     rules = [
         ((kind == "TimeoutError") | any_of("timeout"), "transient", during("Request timeout")),
         (kind.isin(CONNECTION_TYPES), "transient", during("Connection error")),
@@ -163,17 +165,28 @@ def plan_retries(errors: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame
 def reuse_results(images: DataFrame, store: DataFrame, ttl_seconds: int = RESULT_TTL) -> tuple[DataFrame, DataFrame]:
     """Stored results for images of the same (template, md5) within ``ttl_seconds``; returns (hits, misses).
 
-    The store is reduced to its newest row per key before the join, so many copies of one image meet one
-    row; AQE splits the partition of an image with very many copies.
+    A hit is the newest stored row that is not after the image. Time is cut into slices of one lifetime: such a row
+    lies in the image's own slice, where one ordered scan finds it, or is the last one of the slice before. So an
+    image with very many copies is scanned slice by slice, and images are never paired with all stored rows.
     """
     keys = ["template_id", "md5"]
     others = [c for c in store.columns if c not in [*keys, "stored_at"]]
-    newest = store.groupBy(*keys).agg(F.max_by(F.struct("stored_at", *others), "stored_at").alias("_s"))
+    slice_of = lambda ts: F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(ttl_seconds * 1_000_000))
+    row, result = F.struct(*images.columns), F.struct("stored_at", *others)
+    timeline = images.select(*keys, F.col("created_at").alias("_at"), row.alias("_i"), F.lit(None).alias("_s")).unionByName(
+        store.select(*keys, F.col("stored_at").alias("_at"), F.lit(None).alias("_i"), result.alias("_s"))
+    ).withColumn("_slice", slice_of(F.col("_at")))
+    so_far = Window.partitionBy(*keys, "_slice").orderBy("_at", F.col("_i").isNotNull(), "_s").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    asked = timeline.withColumn("_own", F.last("_s", ignorenulls=True).over(so_far)).filter("_i is not null")
+    closing = store.groupBy(*keys, (slice_of(F.col("stored_at")) + 1).alias("_slice")).agg(
+        F.max_by(result, result).alias("_before"))
+    found = F.when(F.col("template_id").isNotNull() & F.col("md5").isNotNull(), F.coalesce("_own", "_before"))
+    joined = asked.join(closing, [*keys, "_slice"], "left").select("_i", found.alias("_s"))
     end = F.col("_s.stored_at") + F.make_interval(secs=F.lit(ttl_seconds))
-    fresh = F.coalesce((F.col("created_at") >= F.col("_s.stored_at")) & (F.col("created_at") < end), F.lit(False))
-    joined = images.join(newest, keys, "left").withColumn("_fresh", fresh)
-    hits = joined.filter("_fresh").select(*images.columns, "_s.stored_at", *[F.col(f"_s.{c}").alias(c) for c in others])
-    return hits, joined.filter("not _fresh").select(*images.columns)
+    joined = joined.withColumn("_fresh", F.coalesce(F.col("_i.created_at") < end, F.lit(False)))
+    hits = joined.filter("_fresh").select("_i.*", "_s.stored_at", *[F.col(f"_s.{c}").alias(c) for c in others])
+    return hits, joined.filter("not _fresh").select("_i.*")
 
 
 def invalidate(store: DataFrame, template_id: int) -> DataFrame:

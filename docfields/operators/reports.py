@@ -313,14 +313,16 @@ def rollup_entry(entries: DataFrame, fields: DataFrame, line_counts: DataFrame |
     """Field counts, average confidence and the field-to-source map of each entry.
 
     ``line_counts`` (entry_id, raw_lines_count) adds the number of OCR lines. The map is bounded by the
-    number of fields of a template.
+    number of fields of a template; of a repeated name it has the source of the most confident row.
     """
+    named = F.array_sort(F.collect_list(F.struct("field_name", "confidence", "source")))
+    last_of_name = F.expr("filter(_named, (x, i) -> i = size(_named) - 1 OR _named[i + 1].field_name <> x.field_name)")
     summary = fields.groupBy("entry_id").agg(
         F.count(F.lit(1)).alias("field_count"),
         count_where(F.coalesce(F.col("ocr_value"), F.lit("")) != "").alias("filled_count"),
         exact_avg(F.col("confidence")).alias("confidence_score"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", "source")))).alias("field_sources"),
-    )
+        named.alias("_named"),
+    ).withColumn("field_sources", F.map_from_entries(F.transform(last_of_name, lambda x: F.struct(x["field_name"], x["source"])))).drop("_named")
     rolled = entries.drop("confidence_score").join(summary, "entry_id", "left").withColumns({
         "field_count": F.coalesce("field_count", F.lit(0)),
         "filled_count": F.coalesce("filled_count", F.lit(0)),

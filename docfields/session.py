@@ -27,10 +27,16 @@ def build_session(app_name: str = "docfields", master: str | None = None, **extr
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a scratch folder only where none is set (tests)."""
+    """The shared folder of the cluster, from ``spark.checkpoint.dir``.
+
+    Only a session on one machine may do without the setting; it gets a scratch folder. Elsewhere each executor would
+    write to its own disk, so that raises.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(checkpoint_dir, "scratch"):
         checkpoint_dir.scratch = tempfile.mkdtemp(prefix="docfields-checkpoint-")
         spark.sparkContext.setCheckpointDir(checkpoint_dir.scratch)

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docfields.operators import filters, lifecycle, merge, responses
+from docfields.operators import filters, joins, lifecycle, merge, reports, responses
 from docfields.plans.extraction import extract_forms
 from docfields.sources import documents, templates
 
@@ -171,3 +171,92 @@ def test_detection_documents_read_back(spark, tmp_path):
     documents.detection_documents(det).drop("entry_id").coalesce(1).write.json(f"{tmp_path}/e1")
     back = documents.read_detections(spark, str(tmp_path)).orderBy("det_no").collect()
     assert [(r.entry_id, r.name, r.confidence) for r in back] == [("e1", "a", 0.912), ("e1", "b", 0.5)]
+
+
+def test_verified_data_of_other_entries_stays(spark):
+    entries = spark.createDataFrame(
+        [(1, 5, "extracted", None, None), (2, 5, "verified", 7, {"a": "kept"})],
+        "entry_id bigint, uploaded_by bigint, status string, verified_by bigint, verified_data map<string,string>")
+    fields = spark.createDataFrame([(1, "a", "x", None, False)], "entry_id bigint, field_name string, ocr_value string, verified_value string, was_corrected boolean")
+    given = spark.sql("select 1L entry_id, 5L verifier_id, map('a', 'y') verified_fields, timestamp'2024-01-01' ts")
+    users = spark.createDataFrame([(5, "encoder")], "user_id bigint, role string")
+    done = lifecycle.apply_verifications(entries, fields, given, users)["entries"]
+    assert {r.entry_id: r.verified_data for r in done.collect()} == {1: {"a": "y"}, 2: {"a": "kept"}}
+
+
+def test_results_are_reused_as_of_the_image(spark):
+    images = spark.sql("""select * from values (1L, 1L, 'm', timestamp'2024-01-01 00:10:00'), (2L, 1L, 'm', timestamp'2024-01-01 05:59:59'),
+      (3L, 1L, 'm', timestamp'2024-01-01 06:00:00'), (4L, 1L, null, timestamp'2024-01-01 00:10:00'), (5L, 2L, 'm', timestamp'2024-01-01 00:10:00')
+      as t(entry_id, template_id, md5, created_at)""")
+    stored = spark.sql("""select * from values (1L, 'm', timestamp'2024-01-01 00:00:00', 'old'), (1L, 'm', timestamp'2024-01-01 05:00:00', 'new'),
+      (1L, null, timestamp'2024-01-01 00:00:00', 'none') as t(template_id, md5, stored_at, result)""")
+    hits, misses = lifecycle.reuse_results(images, stored)
+    assert {(r.entry_id, r.result) for r in hits.collect()} == {(1, "old"), (2, "new")}
+    assert {r.entry_id for r in misses.collect()} == {3, 4, 5}
+
+
+def test_several_answers_for_a_field_give_one_row(spark):
+    base = spark.createDataFrame([(1, "a", "", 0.1, "deterministic", True)], "entry_id bigint, field_name string, value string, confidence double, source string, unresolved boolean")
+    answers = spark.createDataFrame([(1, "a", "first", 0.9, 1), (1, "a", "second", 0.5, 2)], "entry_id bigint, field_name string, value string, confidence double, pass_no int")
+    assert [(r.value, r.confidence) for r in merge.merge_ai_into_deterministic(base, answers).collect()] == [("second", 0.5)]
+    weak = spark.createDataFrame([(1, "a", "old", 0.1)], "entry_id bigint, field_name string, ocr_value string, confidence double")
+    again = responses.reextract_low_confidence(weak, answers.select("entry_id", "field_name", "value", "pass_no")).collect()
+    assert [(r.ocr_value, r.reextracted) for r in again] == [("second", True)]
+    given = spark.sql("select 1L entry_id, explode(array(named_struct('m', map('a', 'x'), 'ts', 1), named_struct('m', map('a', 'y'), 'ts', 2))) s").selectExpr("entry_id", "s.m verified_fields", "s.ts ts")
+    assert [r.new_value for r in joins.fields_with_verified_values(weak, given).collect()] == ["y"]
+
+
+def test_roll_up_takes_repeated_names(spark):
+    entries = spark.createDataFrame([(1,)], "entry_id bigint")
+    rows = spark.createDataFrame([(1, "a", "x", 0.9, "ai"), (1, "a", "y", 0.2, "rules"), (1, "b", "", 0.5, None)],
+                                 "entry_id bigint, field_name string, ocr_value string, confidence double, source string")
+    done = reports.rollup_entry(entries, rows).first()
+    assert done.field_sources == {"a": "ai", "b": None} and done.field_count == 3 and done.filled_count == 2
+
+
+def test_quoted_confidences_are_no_numbers(spark):
+    body = '{"fields": {"a": {"value": "x", "confidence": "0.9"}, "b": {"value": "y", "confidence": 0.9}, "c": {"value": "z"}}}'
+    rows = responses.parse_wrapped_responses(spark.createDataFrame([(1, body)], "entry_id bigint, response_text string"))[0]
+    assert {r.field_name: r.confidence_raw for r in rows.collect()} == {"a": '"0.9"', "b": "0.9", "c": None}
+
+
+def test_every_line_is_in_a_preview(spark):
+    fields = spark.createDataFrame([(1, 3, "a", True, None)], "entry_id bigint, template_id bigint, field_name string, unresolved boolean, context_lines array<string>")
+    schema = spark.createDataFrame([(3, "a", 0, "A", "text", None, None)], "template_id bigint, name string, field_pos int, label string, type string, options array<string>, ai_prompt_hint string")
+    lines = spark.range(201).selectExpr("1L entry_id", "id line_no", "'t' || id text", "0.5D confidence")
+    got = responses.resolution_requests(fields, schema, lines).collect()
+    assert sorted(r.preview_no for r in got) == [0, 1, 2]
+    assert sum(len(r.ocr_preview.split("\n")) for r in got) == 201
+
+
+def test_users_of_entries_without_verifier(spark):
+    entries = spark.createDataFrame([(1, 5, None), (2, 5, 6), (3, 9, None)], "entry_id bigint, uploaded_by bigint, verified_by bigint")
+    users = spark.createDataFrame([(5, "E"), (6, "V")], "user_id bigint, full_name string")
+    got = joins.entries_with_users(entries, users).collect()
+    assert {(r.entry_id, r.uploader_name, r.verifier_name) for r in got} == {(1, "E", None), (2, "E", "V"), (3, None, None)}
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from docfields import session
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Cluster)
+
+
+def test_stored_tables_are_released(spark):
+    import os
+
+    from docfields.functions import materialize as m
+
+    before, m._written[:] = list(m._written), []
+    m.materialize(spark.range(3))
+    path = m._written[0]
+    assert os.path.isdir(path) and m.release(spark) == 1 and not os.path.exists(path)
+    m._written[:] = before
