@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 SCALE = 256
 SHARD_ROWS = 16_384
 QUERY_BLOCK = 4_096
+TOGETHER = 64
 _LARGEST = float(1 << 23)
 
 
@@ -26,47 +27,59 @@ class SortedLists:
         self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(vectors, self.order, axis=0)
 
-    def top(self, query: np.ndarray, own: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and scores of the k best vectors but that of key ``own``, and of all that tie; only scores of at
-        least ``least`` are needed.
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the keys and scores of its k best vectors but that of its own key, and of all that tie;
+        only scores of at least ``least`` are needed.
 
-        All lists are read in rounds, the largest products first. After a round each vector has a lower bound (its
-        products read so far, and the smallest of each list it was not met in) and an upper bound (the last product
-        read there). Reading stops when few vectors can still be among the best; their scores are then completed.
+        The lists are read from both ends in rounds, for all queries together: the upper end serves the queries
+        with a positive weight in a list, the lower end those with a negative one. After a round each vector has for
+        each query a lower bound (its products read so far, and the worst of each list it was not met in) and an
+        upper bound (the last product read there). Reading stops when few vectors can still be among the best of
+        any query; their scores are then completed.
         """
-        n = len(self.keys)
-        lists = np.flatnonzero(query)
-        weight = query[lists].astype(np.float64)
-        ahead = weight > 0
-        worst = weight * np.where(ahead, self.values[0, lists], self.values[-1, lists])
-        total, met = np.zeros(n), np.zeros((n, len(lists)))
-        alive = self.keys != own
+        n, d = self.vectors.shape
+        largest = int(np.abs(self.vectors).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, d)
+        kind = np.float32 if largest < 1 << 24 else np.float64
+        values = self.values.astype(kind)
+        up, down = np.maximum(queries, 0).T.astype(kind), np.minimum(queries, 0).T.astype(kind)
+        worst_up, worst_down = up * values[0][:, None], down * values[-1][:, None]
+        low = np.repeat((worst_up + worst_down).sum(axis=0)[None, :], n, axis=0)
+        unmet_up, unmet_down = np.ones((n, d), kind), np.ones((n, d), kind)
+        least = least.copy()
+        alive = self.keys[:, None] != own[None, :]
         read = 0
-        for share in (0.05, 0.12, 0.2, 0.3, 0.45, 0.65, 1.0):
-            depth = max(min(n, k), int(n * share))
+        for share in (0.4, 0.6, 0.8, 1.0):
+            depth = min(n, max(k, int(n * share)))
             if depth <= read:
                 continue
-            for j, d in enumerate(lists.tolist()):
-                part = slice(n - depth, n - read) if ahead[j] else slice(read, depth)
-                at = self.order[part, d]
-                total[at] += weight[j] * self.values[part, d]
-                met[at, j] = 1
+            for j in range(d):
+                if up[j].any():
+                    at = self.order[n - depth: n - read, j]
+                    low[at] += values[n - depth: n - read, j, None] * up[j] - worst_up[j]
+                    unmet_up[at, j] = 0
+                if down[j].any():
+                    at = self.order[read: depth, j]
+                    low[at] += values[read: depth, j, None] * down[j] - worst_down[j]
+                    unmet_down[at, j] = 0
             read = depth
-            last = weight * np.where(ahead, self.values[n - depth, lists], self.values[depth - 1, lists])
-            low = total + worst.sum() - met @ worst
-            high = total + last.sum() - met @ last
-            held = low[alive]
-            if len(held) > k:
-                least = max(least, np.partition(held, len(held) - k)[len(held) - k])
+            high = low + unmet_up @ (up * values[n - depth][:, None] - worst_up)
+            high += unmet_down @ (down * values[depth - 1][:, None] - worst_down)
+            if n > k + 1:
+                # The k-th best lower bound, the query's own vector left out.
+                bounds = np.where(alive, low, -np.inf)
+                least = np.maximum(least, np.partition(bounds, n - k, axis=0)[n - k])
             alive &= high >= least
-            if alive.sum() <= max(n // 16, 4 * k):
+            if alive.sum(axis=0).max() <= max(n // 8, 4 * k):
                 break
-        left = np.flatnonzero(alive)
-        scores = self.vectors[left] @ query
-        if len(left) > k:
-            keep = scores >= np.partition(scores, len(left) - k)[len(left) - k]
-            left, scores = left[keep], scores[keep]
-        return self.keys[left], scores
+        found = []
+        for i in range(len(queries)):
+            left = np.flatnonzero(alive[:, i])
+            scores = self.vectors[left] @ queries[i]
+            if len(left) > k:
+                keep = scores >= np.partition(scores, len(left) - k)[len(left) - k]
+                left, scores = left[keep], scores[keep]
+            found.append((self.keys[left], scores))
+        return found
 
 
 def scaled(vector: Column, scale: int = SCALE) -> Column:
@@ -86,14 +99,15 @@ def _search(candidates: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarr
         def work(keys: np.ndarray, vectors: np.ndarray) -> None:
             ids, block = queries[vectors.shape[1]]
             lists = SortedLists(keys, vectors)
-            for i, (own, query) in enumerate(zip(ids.tolist(), block, strict=True)):
-                before = best.get((vectors.shape[1], i))
-                least = float(before[1][-1]) if before is not None and len(before[1]) >= k else -np.inf
-                found, scores = lists.top(query, own, k, least)
-                if before is not None:
-                    found, scores = np.concatenate((before[0], found)), np.concatenate((before[1], scores))
-                first = np.lexsort((found, -scores))[:k]
-                best[vectors.shape[1], i] = (found[first], scores[first])
+            for start in range(0, len(ids), TOGETHER):
+                part = slice(start, start + TOGETHER)
+                before = [best.get((vectors.shape[1], i)) for i in range(start, min(start + TOGETHER, len(ids)))]
+                least = np.array([b[1][-1] if b is not None and len(b[1]) >= k else -np.inf for b in before])
+                for i, (found, scores) in enumerate(lists.top(block[part], ids[part], k, least)):
+                    if before[i] is not None:
+                        found, scores = np.concatenate((before[i][0], found)), np.concatenate((before[i][1], scores))
+                    first = np.lexsort((found, -scores))[:k]
+                    best[vectors.shape[1], start + i] = (found[first], scores[first])
 
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:

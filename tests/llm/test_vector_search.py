@@ -33,12 +33,16 @@ def test_best_partners_match_brute_force(spark, kind):
     assert vector_search.nearest_vectors(df.limit(0), F.col("key") % 10 == 0).count() == 0
 
 
-def test_reading_stops_early_on_skewed_lists():
+def test_lists_give_the_best_of_each_query():
     rng = np.random.default_rng(1)
-    x = rng.integers(-20, 20, (4000, 8))
-    x[:10] += 200
-    lists = vector_search.SortedLists(np.arange(4000), x)
-    query = np.full(8, 3)
-    keys, scores = lists.top(query, -1, 5, -np.inf)
-    full = x @ query
-    assert sorted(scores.tolist())[-5:] == sorted(full.tolist())[-5:] and (full[keys] == scores).all() and len(keys) < 12
+    for size in (20, 1 << 14):
+        x = rng.integers(-size, size, (3000, 8))
+        x[:10] += 10 * size
+        lists = vector_search.SortedLists(np.arange(3000), x)
+        queries = np.concatenate(([np.full(8, 3), np.zeros(8, int)], rng.integers(-9, 9, (5, 8)), x[5:7]))
+        own = np.array([-1] * 7 + [5, 6])
+        for query, o, (keys, scores) in zip(queries, own, lists.top(queries, own, 5, np.full(9, -np.inf))):
+            full = np.where(np.arange(3000) == o, np.iinfo(int).min, x @ query)
+            best = np.sort(full)[-5:]
+            assert sorted(scores.tolist())[-5:] == best.tolist() and (full[keys] == scores).all()
+            assert set(keys.tolist()) == set(np.flatnonzero(full >= best[0]).tolist())
