@@ -186,8 +186,8 @@ WITH {_anchor_rows()}, {PLACED}
 SELECT entry_id, line_no, count(*) AS n_fields, string_agg(field_name, ',' ORDER BY field_name) AS names
 FROM placed JOIN (SELECT DISTINCT field_name, x0, y0, x1, y1 FROM a) f ON {IN_REGION} GROUP BY 1, 2""")
 def _(v):
-    return anchors.page_membership(v.ocr_lines, v.entries, v.template_fields).groupBy("entry_id", "line_no").agg(
-        F.count(F.lit(1)).alias("n_fields"), F.array_join(F.array_sort(F.collect_list("field_name")), ",").alias("names"))
+    return anchors.page_membership(v.ocr_lines, v.entries, v.template_fields).select(
+        "entry_id", "line_no", F.size("field_names").cast("bigint").alias("n_fields"), F.array_join("field_names", ",").alias("names"))
 
 
 @query("extract_by_label_position", ["entries", "ocr_lines", "template_fields"], """
@@ -381,8 +381,11 @@ JOIN template_fields t ON t.template_id = e.template_id AND t.type = 'checkbox'
 WHERE lower(d.name) = lower(t.label) OR 1.0 - levenshtein(lower(d.name), lower(t.label)) / greatest(length(d.name), length(t.label))::DOUBLE >= 0.7""")
 def _(v):
     fields = v.template_fields.filter("type = 'checkbox'").select("template_id", F.col("name").alias("field_name"), "label")
-    pairs = v.detections.join(v.entries.select("entry_id", "template_id"), "entry_id").join(fields, "template_id")
-    return pairs.filter(checkboxes.similar(F.col("name"), F.col("label"), 0.7)).select("entry_id", "det_no", "field_name")
+    placed = v.detections.join(v.entries.select("entry_id", "template_id"), "entry_id")
+    # Each distinct name is compared with the labels of its template once.
+    names = placed.select("template_id", "name").distinct().join(fields, "template_id")
+    alike = names.filter(checkboxes.similar(F.col("name"), F.col("label"), 0.7)).select("template_id", "name", "field_name")
+    return placed.join(alike, ["template_id", "name"]).select("entry_id", "det_no", "field_name")
 
 
 def _mapping_sql() -> str:

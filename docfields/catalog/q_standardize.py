@@ -158,9 +158,9 @@ def _(v):
 
 # --- profile ocr ---------------------------------------------------------------------------------------------
 
-OCR_TYPE = ("CASE ln WHEN 1 THEN 'date' WHEN 2 THEN 'phone' WHEN 3 THEN 'amount' WHEN 4 THEN 'checkbox' "
+OCR_TYPE = ("CASE kind WHEN 1 THEN 'date' WHEN 2 THEN 'phone' WHEN 3 THEN 'amount' WHEN 4 THEN 'checkbox' "
             "WHEN 5 THEN 'name' WHEN 6 THEN 'address' ELSE CASE WHEN h % 50 = 0 THEN 'colour' ELSE 'id_number' END END")
-OCR_VALUE = ("CASE ln WHEN 1 THEN date_text WHEN 2 THEN phone_text WHEN 3 THEN amount_text WHEN 4 THEN mark_text "
+OCR_VALUE = ("CASE kind WHEN 1 THEN date_text WHEN 2 THEN phone_text WHEN 3 THEN amount_text WHEN 4 THEN mark_text "
              "WHEN 5 THEN name_text WHEN 6 THEN street_text ELSE number_text END")
 PLACE_COUNT = " + ".join(f"CASE WHEN contains(lower(x), '{p}') THEN 1 ELSE 0 END" for p in ocr.PLACES)
 
@@ -224,7 +224,7 @@ def ocr_source(v):
 
 
 @query("standardize_ocr_rejects", ["texts"], """
-SELECT ok AS entry_id, ln, 'unknown type' AS reason FROM texts WHERE ln = 7 AND h % 50 = 0""")
+SELECT ok AS entry_id, ln, 'unknown type' AS reason FROM texts WHERE kind = 7 AND h % 50 = 0""")
 def _(v):
     return std.standardize_ocr(ocr_source(v))[1].select("entry_id", "ln", "reason")
 
@@ -327,7 +327,7 @@ def _(v):
 
 # --- profile model -------------------------------------------------------------------------------------------
 
-MODEL_NAME = ("CASE ln WHEN 1 THEN 'date_of_birth' WHEN 2 THEN 'owner_phone' WHEN 3 THEN 'capitalization' "
+MODEL_NAME = ("CASE kind WHEN 1 THEN 'date_of_birth' WHEN 2 THEN 'owner_phone' WHEN 3 THEN 'capitalization' "
               "WHEN 4 THEN 'is_renewal' WHEN 5 THEN 'first_name' WHEN 6 THEN 'business_street' ELSE 'psic_code' END")
 
 
@@ -344,17 +344,17 @@ def _(v):
     return std.adapt_model_fields(fields).select("entry_id", "field_name", "value_out", "conf_out", "source")
 
 
-TYPED = ("CASE ln WHEN 1 THEN 'radio' WHEN 2 THEN 'number' WHEN 3 THEN 'number' WHEN 4 THEN 'checkbox' WHEN 5 THEN 'radio' "
+TYPED = ("CASE kind WHEN 1 THEN 'radio' WHEN 2 THEN 'number' WHEN 3 THEN 'number' WHEN 4 THEN 'checkbox' WHEN 5 THEN 'radio' "
          "WHEN 6 THEN 'checkbox-group' ELSE 'text' END")
 CHOICE = ("CASE h % 6 WHEN 0 THEN ' Single ' WHEN 1 THEN 'legally/separated' WHEN 2 THEN 'is married now' "
           "WHEN 3 THEN 'Legally-Separated' WHEN 4 THEN 'widow' ELSE 'the legally_separated one' END")
-VALUE = ("CASE ln WHEN 1 THEN {choice} WHEN 2 THEN phone_text WHEN 3 THEN amount_text WHEN 4 THEN mark_text "
+VALUE = ("CASE kind WHEN 1 THEN {choice} WHEN 2 THEN phone_text WHEN 3 THEN amount_text WHEN 4 THEN mark_text "
          "WHEN 5 THEN {choice} WHEN 6 THEN street_text ELSE number_text END").format(choice=CHOICE)
 
 
 @query("normalise_by_type", ["texts"], f"""
 WITH a AS (SELECT ok AS entry_id, ln, {TYPED} AS type, trim({VALUE}) AS v,
-    CASE WHEN ln = 1 THEN ['single', 'married', 'legally_separated'] ELSE [] END AS options FROM texts),
+    CASE WHEN kind = 1 THEN ['single', 'married', 'legally_separated'] ELSE [] END AS options FROM texts),
 b AS (SELECT *, lower(v) AS low, regexp_split_to_array(translate(lower(v), '_/', '  '), '\\s+') AS raw_words FROM a),
 c AS (SELECT entry_id, ln, CASE type WHEN 'checkbox' THEN CASE WHEN low IN ('yes', 'true', 'checked', '1', 'x', '✓', '✔', 'on',
       'selected', 'filled') THEN 'true' ELSE '' END
@@ -366,14 +366,14 @@ SELECT *, CAST(CASE WHEN value_out <> '' THEN 0.92 ELSE 0 END AS DOUBLE) AS conf
 def _(v):
     fields = v.texts.selectExpr(
         "ok AS entry_id", "ln", f"{TYPED} AS type", f"{VALUE} AS value_in",
-        "CASE WHEN ln = 1 THEN array('single', 'married', 'legally_separated') ELSE CAST(array() AS array<string>) END AS options")
+        "CASE WHEN kind = 1 THEN array('single', 'married', 'legally_separated') ELSE CAST(array() AS array<string>) END AS options")
     return std.normalise_by_type(fields).select("entry_id", "ln", "value_out", "conf_out")
 
 
 # --- confidence ----------------------------------------------------------------------------------------------
 
-RAW_CONF = ("CASE WHEN ln = 1 THEN '1.5' WHEN ln = 2 THEN '-0.2' WHEN ln = 3 THEN CAST(conf AS {s}) WHEN ln = 4 THEN 'true' "
-            "WHEN ln = 5 THEN '\"high\"' END")
+RAW_CONF = ("CASE WHEN kind = 1 THEN '1.5' WHEN kind = 2 THEN '-0.2' WHEN kind = 3 THEN CAST(conf AS {s}) WHEN kind = 4 THEN 'true' "
+            "WHEN kind = 5 THEN '\"high\"' END")
 # Values are words of the documents, so that many fields do occur in their entry's lines.
 RAW_WORD = ("CASE h % 6 WHEN 0 THEN 'the' WHEN 1 THEN 'de' WHEN 2 THEN ' la ' WHEN 3 THEN 'Und' WHEN 4 THEN 'x' ELSE 'no such words' END")
 

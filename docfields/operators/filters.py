@@ -31,8 +31,8 @@ def extracted_or_verified(entries: DataFrame) -> DataFrame:
 
 def within_days(df: DataFrame, days: int, as_of: datetime | str | Column, column: str = "created_at") -> DataFrame:
     """``column`` later than ``as_of`` minus ``days``. ``as_of`` is explicit so that runs repeat."""
-    if not 1 <= days <= 365:
-        raise ValueError("days must be between 1 and 365")
+    if days < 1:
+        raise ValueError("days must be at least 1")
     start = _as_timestamp(as_of) - F.make_interval(days=F.lit(days))
     return df.filter(F.col(column) > start)
 
@@ -73,10 +73,13 @@ def retryable(entries: DataFrame) -> DataFrame:
     return entries.filter(F.lower("status").isin(RETRYABLE))
 
 
-def validate_field_records(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validate_field_records(
+    fields: DataFrame, max_name: int | None = None, max_value: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Check records; returns (records of clean entries, violations).
 
-    One bad record fails its whole entry. A NULL value becomes '', the name is stripped.
+    One bad record fails its whole entry. A NULL value becomes '', the name is stripped. Names and values are only
+    limited in length where a limit is given.
     """
     name = text.strip(F.col("field_name"))
     checked = (
@@ -85,8 +88,8 @@ def validate_field_records(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn(
             "violation",
             F.when(F.coalesce(name, F.lit("")) == "", F.lit("blank name"))
-            .when(F.length(name) > 255, F.lit("name too long"))
-            .when(F.length(F.coalesce("ocr_value", F.lit(""))) > 5000, F.lit("value too long"))
+            .when(F.length(name) > F.lit(max_name), F.lit("name too long"))
+            .when(F.length(F.coalesce("ocr_value", F.lit(""))) > F.lit(max_value), F.lit("value too long"))
             .when(F.col("confidence").isNull() | F.isnan("confidence"), F.lit("confidence missing"))
             .when(~F.col("confidence").between(0.0, 1.0), F.lit("confidence out of range")),
         )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docfields.functions.materialize import materialize
 from docfields.functions.scans import ordered_rank, previous_value, running_max_through
+from docfields.operators.layout.anchors import per_entry
 from docfields.operators.lines import ordered_text
 
 # Distances in pixels.
@@ -25,11 +26,10 @@ def label_boxes(entries: DataFrame, lines: DataFrame, template_fields: DataFrame
     """Box of the first line (with a box) that contains the label, per (entry, field)."""
     labels = template_fields.select("template_id", F.col("name").alias("field_name"),
                                     F.lower("label").alias("_label"))
-    hits = (
-        lines.filter("box is not null").join(entries.select("entry_id", "template_id"), "entry_id")
-        .withColumn("_hay", F.lower("text"))
-        .join(labels, "template_id").filter(F.col("_hay").contains(F.col("_label")))
-    )
+    boxed = lines.filter("box is not null").withColumn("_hay", F.lower("text")).join(
+        per_entry(entries, labels, "_labels"), "entry_id")
+    fitting = F.filter("_labels", lambda a: F.col("_hay").contains(a["_label"]))
+    hits = boxed.withColumn("_hit", F.explode(fitting)).select("*", "_hit.field_name")
     return hits.groupBy("entry_id", "field_name").agg(F.min_by("box", "line_no").alias("label_box"))
 
 

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from docfields.functions import text
 from docfields.operators.standardize.results import emit
 
-# Field types, longest text, letters misread for digits.
+# Field types, letters misread for digits.
 TYPES = ["name", "address", "amount", "date", "phone", "id_number", "checkbox"]
-MAX_LENGTH = 10_000
 MISREAD = {"O": "0", "I": "1", "l": "1", "S": "5", "Z": "2", "B": "8"}
 
 # Texts with one of these pieces keep their letters.
@@ -85,14 +84,15 @@ def _date(value: Column) -> Column:
     return F.nullif(F.regexp_extract(shown, _YEARS, 1), F.lit(""))
 
 
-def standardize_ocr(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+def standardize_ocr(fields: DataFrame, max_length: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Correct ``value_in`` by ``type``; returns (fields, rejects).
 
-    Rejected are NULL and over-long texts, unknown types and confidences outside [0, 1].
+    Rejected are NULL texts, those longer than ``max_length`` (if it is given), unknown types and confidences
+    outside [0, 1].
     """
     reason = (
         F.when(F.col("value_in").isNull(), "no text")
-        .when(F.length("value_in") > MAX_LENGTH, "text too long")
+        .when(F.length("value_in") > F.lit(max_length), "text too long")
         .when(~F.coalesce(F.col("type"), F.lit("")).isin(TYPES), "unknown type")
         .when(~F.coalesce(F.col("conf_in").between(0.0, 1.0), F.lit(False)), "confidence out of range")
     )

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from docfields.functions import text
 from docfields.operators.standardize.results import emit
 
-# Confidence changes, year range, longest input.
+# Confidence changes, year range.
 VALID, CORRECTED, NORMALIZED, EMPTY = 0.10, 0.08, 0.05, 0.0
 AMBIGUOUS, INVALID, REQUIRED_MISSING, INVALID_AUTO = -0.05, -0.20, -0.25, -0.25
-MIN_YEAR, MAX_YEAR, MAX_LENGTH = 1950, 2030, 1000
+MIN_YEAR, MAX_YEAR = 1950, 2030
 
 # Month names in the order in which they are looked for.
 MONTHS = {
@@ -91,7 +91,7 @@ def parse_dates(
         .when(F.col("_m") != "", _ymd(_int(value, F.col("_p"), year_group), _month_number(F.col("_m")), day))
     )
     # The parser accepts calendar days only; the pattern keeps the years in range.
-    shown = F.date_format(F.try_to_date(F.when(F.length(value) <= MAX_LENGTH, parts), "yyyy-M-d"), "dd/MM/yyyy")
+    shown = F.date_format(F.try_to_date(parts, "yyyy-M-d"), "dd/MM/yyyy")
     return staged.withColumn(target, F.nullif(F.regexp_extract(shown, _YEARS, 1), F.lit(""))).drop("_d", "_m", "_p")
 
 
@@ -124,7 +124,7 @@ def parse_amounts(df: DataFrame, source: str, target: str, only: Column | None =
     """Add ``target``: the amount as X,XXX.XX (at most one currency sign), NULL where there is none."""
     value = F.col("_a")
     signs = F.regexp_count(value, F.lit(f"[{CURRENCY}]")) + F.regexp_count(value, F.lit(r"P(?=[0-9\s])"))
-    bare = F.when((F.length(value) <= MAX_LENGTH) & (signs <= 1), F.translate(value, CURRENCY + "P ", ""))
+    bare = F.when(signs <= 1, F.translate(value, CURRENCY + "P ", ""))
     pattern = r"^(-?)([0-9]{1,3}(?:,?[0-9]{3})*\.?[0-9]{0,2})$"
     number = F.translate(F.regexp_extract(F.col("_b"), pattern, 2), ",", "").try_cast("double")
     sign = F.when(F.col("_b").startswith("-"), "-").otherwise("")

@@ -82,7 +82,8 @@ def test_ocr_profile(spark):
     assert [(r.value_out, pytest.approx(r.conf_delta, abs=1e-9)) for r in got] == [(r[2], r[3]) for r in rows]
     bad = spark.createDataFrame([(0, "colour", "red", 0.5), (1, "name", None, 0.5), (2, "name", "x" * 10001, 0.5), (3, "name", "a", 1.5)],
                                 "i int, type string, value_in string, conf_in double")
-    good, rejects = std.standardize_ocr(bad)
+    good, rejects = std.standardize_ocr(bad, max_length=10_000)
+    assert std.standardize_ocr(bad)[0].count() == 1  # no limit unless one is given
     assert good.count() == 0
     assert [r.reason for r in outputs(rejects)] == ["unknown type", "no text", "text too long", "confidence out of range"]
 
