@@ -210,10 +210,10 @@ def duplicate_members(images: DataFrame) -> DataFrame:
 def progress_changes(events: DataFrame) -> DataFrame:
     """Events whose (status, confidence) differs from the previous one of the form (batch form).
 
-    The window is per form and day; the last state of each earlier day is carried over, so that a form
+    The window is per form and minute; the last state of each earlier minute is carried over, so that a form
     with very many events is not one task.
     """
-    day = F.to_date("ts")
+    day = F.date_trunc("minute", "ts")
     state = F.struct("status", "confidence_score")
     dated = events.withColumns({"_day": day, "_state": state}).repartition("form_id", "_day")
     closing = dated.groupBy("form_id", "_day").agg(

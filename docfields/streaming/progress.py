@@ -6,6 +6,7 @@ dropped by the stateful operators and counted with ``dropped_late_rows``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docfields.functions.kernels import ship_by_value
 
-LATENESS = "1 hour"
+LATENESS, LIFETIME_MS = "1 hour", 3_600_000
 STUCK_SECONDS = 360
 
 ship_by_value(__name__)
@@ -42,50 +43,98 @@ def read_progress_kafka(spark: SparkSession, servers: str, topic: str) -> DataFr
     return parse_progress(source.load().select(F.col("value").cast("string").alias("value")))
 
 
+def with_end(stream: DataFrame, path: str, **last: object) -> DataFrame:
+    """A bounded stream with one more row, ``last`` (the other columns NULL), written below ``path``.
+
+    Windows, timers and held-back rows wait for the watermark. Where the input ends, nothing would move it any more,
+    and the last results would never come. A last row far behind all others in time closes them; what belongs to the
+    row itself stays open or is filtered by its key.
+    """
+    spark = stream.sparkSession
+    one = spark.range(1).select(*[F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in stream.schema])
+    one.write.mode("overwrite").parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
 def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Emit events that differ from the last (status, confidence); remember that pair and its time."""
-    last_ts, status, confidence, known = (*state.get, True) if state.exists else (-1, None, None, False)
-    for batch in batches:
-        rows = []
-        for row in batch.sort_values("ts", kind="stable").itertuples(index=False):
-            ts = int(row.ts.value)
-            if ts < last_ts:
-                continue  # older than what was already published
-            now = None if pd.isna(row.confidence_score) else float(row.confidence_score)
-            if not known or (row.status, now) != (status, confidence):
-                rows.append((key[0], row.status, now, row.ts))
-            last_ts, status, confidence, known = ts, row.status, now, True
-        yield pd.DataFrame(rows, columns=["form_id", "status", "confidence_score", "ts"])
-    state.update((last_ts, status, confidence))
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), last_ts // 1_000_000) + 3_600_000)
-
-
-def _changes_or_expire(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
+    """Hold events back until the watermark has passed them; then, in their order, emit those that differ from the
+    last (status, confidence)."""
+    last_ts, status, confidence, held = state.get if state.exists else (-1, None, None, "[]")
+    pending = json.loads(held)
+    for batch in [] if state.hasTimedOut else batches:
+        for row in batch.itertuples(index=False):
+            score = None if pd.isna(row.confidence_score) else float(row.confidence_score)
+            pending.append([int(row.ts.value), int(row.event_id), row.status, score])
+    watermark = state.getCurrentWatermarkMs()
+    ready = sorted((p for p in pending if p[0] // 1_000_000 < watermark), key=lambda p: (p[0], p[1], str(p[2]), str(p[3])))
+    pending = [p for p in pending if p[0] // 1_000_000 >= watermark]
+    rows = []
+    for ts, _, now, score in ready:
+        if last_ts < 0 or (now, score) != (status, confidence):
+            rows.append((key[0], now, score, pd.Timestamp(ts, unit="ns")))
+        last_ts, status, confidence = ts, now, score
+    if not pending and watermark > last_ts // 1_000_000 + LIFETIME_MS:
         state.remove()
-        return
-    yield from _changes(key, batches, state)
+    else:
+        state.update((last_ts, status, confidence, json.dumps(pending)))
+        due = max(p[0] for p in pending) // 1_000_000 + 1 if pending else last_ts // 1_000_000 + LIFETIME_MS
+        state.setTimeoutTimestamp(max(due, watermark) + 1)
+    yield pd.DataFrame(rows, columns=["form_id", "status", "confidence_score", "ts"])
 
 
 def state_changes(events: DataFrame) -> DataFrame:
-    """Only the events that change a form's (status, confidence); state expires an hour after the last one."""
+    """Only the events that change a form's (status, confidence), in the order of (ts, event_id).
+
+    Events wait in the state until the watermark has passed them, so the order of arrival does not matter; later
+    ones are dropped and counted. Without an ``event_id`` ties in time go by status. State expires an hour after the
+    last event.
+    """
     kind = events.schema["form_id"].dataType.simpleString()
+    number = F.col("event_id") if "event_id" in events.columns else F.lit(0)
     return (
-        events.select("form_id", "status", "confidence_score", "ts").withWatermark("ts", LATENESS)
-        .groupBy("form_id")
+        events.select("form_id", "status", "confidence_score", "ts", number.cast("bigint").alias("event_id"))
+        .withWatermark("ts", LATENESS).groupBy("form_id")
         .applyInPandasWithState(
-            _changes_or_expire, f"form_id {kind}, status string, confidence_score double, ts timestamp",
-            "ts long, status string, confidence_score double", "append", GroupStateTimeout.EventTimeTimeout)
+            _changes, f"form_id {kind}, status string, confidence_score double, ts timestamp",
+            "ts long, status string, confidence_score double, held string", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
+def _latest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    before = state.get if state.exists else None
+    best = before
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            score = None if pd.isna(row.confidence_score) else float(row.confidence_score)
+            now = (int(row.ts.value), int(row.event_id), row.status, score, row.message)
+            if best is None or now[:2] > tuple(best[:2]):
+                best = now
+    state.update(best)
+    state.setTimeoutTimestamp(max(best[0] // 1_000_000 + LIFETIME_MS, state.getCurrentWatermarkMs()) + 1)
+    if best != before:
+        yield pd.DataFrame({"form_id": [key[0]], "status": [best[2]], "confidence_score": [best[3]], "message": [best[4]],
+                            "ts": [pd.Timestamp(best[0], unit="ns")]})
+
+
 def latest_status(events: DataFrame) -> DataFrame:
-    """Last event per form (update mode): combined before the shuffle, one small state row per form.
+    """Last event per form by (ts, event_id) (update mode); one small state row per form.
 
-    An older message arriving late loses against the newer one in ``max_by`` and changes nothing.
+    An older message arriving late changes nothing. State expires an hour after the last event: what could still
+    arrive for the form is newer than that or is dropped by the watermark.
     """
-    last = F.max_by(F.struct("status", "confidence_score", "message", "ts"), "ts")
-    return events.groupBy("form_id").agg(last.alias("e")).select("form_id", "e.*")
+    kind = events.schema["form_id"].dataType.simpleString()
+    number = F.col("event_id") if "event_id" in events.columns else F.lit(0)
+    return (
+        events.select("form_id", "status", "confidence_score", "message", "ts", number.cast("bigint").alias("event_id"))
+        .withWatermark("ts", LATENESS).groupBy("form_id")
+        .applyInPandasWithState(
+            _latest, f"form_id {kind}, status string, confidence_score double, message string, ts timestamp",
+            "ts long, event_id long, status string, confidence_score double, message string", "update",
+            GroupStateTimeout.EventTimeTimeout)
+    )
 
 
 def _stuck(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -16,20 +16,30 @@ LATENESS, UPLOAD_MINUTES, RESULT_LIFETIME = "1 day", 15, "1 hour"
 
 
 def confidence_windows(entries: DataFrame, length: str = "30 days", slide: str = "1 day") -> DataFrame:
-    """Average, extremes and bin counts of the confidence per sliding window of ``created_at``."""
+    """Average, extremes and bin counts of the confidence per sliding window of ``created_at``.
+
+    Entries are added up per ``slide`` first; the overlapping windows then add up those few rows, so that an entry is
+    not copied into every window it lies in.
+    """
     score = F.col("confidence_score")
-    return (
+    bins = {"very_low": score < 0.3, "low": (score >= 0.3) & (score < 0.7), "medium": (score >= 0.7) & (score < 0.85),
+            "high": (score >= 0.85) & (score < 0.95), "very_high": score >= 0.95}
+    parts = (
         entries.filter(F.lower("status").isin("extracted", "verified"))
         .withWatermark("created_at", LATENESS)
-        .groupBy(F.window("created_at", length, slide).alias("w"))
+        .groupBy(F.window("created_at", slide).alias("day"))
+        .agg(
+            F.sum(score.cast("decimal(18,8)")).alias("_sum"), F.count(score).alias("_scored"),
+            F.min(score).alias("_min"), F.max(score).alias("_max"), F.count(F.lit(1)).alias("_n"),
+            *[count_where(condition).alias(f"_{name}") for name, condition in bins.items()],
+        )
+    )
+    return (
+        parts.groupBy(F.window(F.window_time("day"), length, slide).alias("w"))
         .agg(
-            exact_avg(score).alias("avg_confidence"), F.min(score).alias("min_confidence"),
-            F.max(score).alias("max_confidence"), F.count(F.lit(1)).alias("total_entries"),
-            count_where(score < 0.3).alias("very_low_count"),
-            count_where((score >= 0.3) & (score < 0.7)).alias("low_count"),
-            count_where((score >= 0.7) & (score < 0.85)).alias("medium_count"),
-            count_where((score >= 0.85) & (score < 0.95)).alias("high_count"),
-            count_where(score >= 0.95).alias("very_high_count"),
+            F.round(F.try_divide(F.sum("_sum"), F.sum("_scored").cast("decimal(20,0)")), 4).cast("double").alias("avg_confidence"),
+            F.min("_min").alias("min_confidence"), F.max("_max").alias("max_confidence"), F.sum("_n").alias("total_entries"),
+            *[F.sum(f"_{name}").alias(f"{name}_count") for name in bins],
         )
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "*").drop("w")
     )

@@ -21,7 +21,7 @@ DATES = {
     "June 15, 1985": "15/06/1985", "15 March 2020": "15/03/2020", "born Mar 5 1999 in Cebu": "05/03/1999",
     "31/02/2020": None, "13/13/2020": None, "01/01/1949": None, "31/12/2030": "31/12/2030", "01/01/2031": None,
     "June 2020": None, "": None, "  07/08/2001 ": "07/08/2001", "5 Jan 2020 and 6 March 2021": "05/01/2020",
-    "May 3, 2020 then January 4, 2021": "04/01/2021", "15.06.1985": None, "x" * 1200 + " June 15, 1985": None,
+    "May 3, 2020 then January 4, 2021": "04/01/2021", "15.06.1985": None, "x" * 1200 + " June 15, 1985": "15/06/1985",
 }
 
 

@@ -1,6 +1,7 @@
 """Streams over files arriving in several batches equal the batch jobs."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -27,12 +28,49 @@ def test_state_changes_over_two_runs(spark, tmp_path):
     write(source, 1, [event("a", "processing", None, 0), event("a", "processing", None, 1), event("a", "extracted", 0.9, 2, "confidence"), event("b", "processing", None, 0)])
     stream = progress.state_changes(progress.read_progress_stream(spark, str(source)))
     result(spark, stream, tmp_path)
-    write(source, 2, [event("a", "extracted", 0.9, 3), event("a", "verified", 0.9, 4), event("b", "extracted", 0.5, 1)])
+    # The last event is hours later: it moves the watermark past the others.
+    write(source, 2, [event("a", "verified", 0.9, 4), event("b", "extracted", 0.5, 1), event("a", "extracted", 0.9, 3), event("end", "x", None, 600)])
     _, out = result(spark, stream, tmp_path)
     got = sorted((r.form_id, r.status) for r in out.collect())
     assert got == [("a", "extracted"), ("a", "processing"), ("a", "verified"), ("b", "extracted"), ("b", "processing")]
 
 
+def test_state_changes_in_any_order_of_arrival(spark, tmp_path):
+    rng = random.Random(3)
+    events = [event(form, rng.choice(["processing", "extracted"]), rng.choice([None, 0.5]), m) for form in "abc" for m in range(50)]
+    want = {(f, e["ts"]) for f in "abc" for own in [[e for e in events if e["form_id"] == f]]
+            for i, e in enumerate(own) if i == 0 or (e["status"], e["confidence_score"]) != (own[i - 1]["status"], own[i - 1]["confidence_score"])}
+    rng.shuffle(events)
+    source = tmp_path / "in"
+    source.mkdir()
+    stream = progress.state_changes(progress.read_progress_stream(spark, str(source)))
+    for n, part in enumerate([events[:60], events[60:], [event("end", "x", None, 900)]]):
+        write(source, n, part)
+        _, out = result(spark, stream, tmp_path)
+    assert {(r.form_id, r.ts.strftime("%Y-%m-%dT%H:%M:%S")) for r in out.collect()} == want
+
+
+def test_latest_status_with_late_and_tied_events(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    stream = progress.latest_status(progress.read_progress_stream(spark, str(source)))
+    write(source, 1, [event("a", "extracted", 0.9, 30), event("b", "processing", None, 5)])
+    result(spark, stream, tmp_path, "update")
+    write(source, 2, [event("a", "processing", None, 10), event("b", "extracted", 0.4, 50)])
+    _, out = result(spark, stream, tmp_path, "update")
+    assert sorted((r.form_id, r.status) for r in out.collect()) == [("a", "extracted"), ("b", "extracted"), ("b", "processing")]
+
+
+def test_an_end_row_closes_all_windows(spark, tmp_path):
+    rows = [{"status": "extracted", "confidence_score": 0.5, "created_at": f"2024-01-0{d}T00:00:00"} for d in (1, 1, 2, 5)]
+    write(tmp_path / "in", 1, rows)
+    stream = spark.readStream.schema("status string, confidence_score double, created_at timestamp").json(str(tmp_path / "in"))
+    ended = progress.with_end(stream, str(tmp_path / "end"), status="extracted", created_at="2200-01-01 00:00:00")
+    _, out = result(spark, quality.confidence_windows(ended, "3 days", "1 day"), tmp_path)
+    got = {r.window_start.strftime("%m-%d"): r.total_entries for r in out.collect()}
+    assert got == {"12-30": 2, "12-31": 3, "01-01": 3, "01-02": 1, "01-03": 1, "01-04": 1, "01-05": 1}
+
+
 def test_stuck_forms_fire_on_the_watermark(spark, tmp_path):
     source = tmp_path / "in"
     write(source, 1, [event("a", "processing", None, 0), event("b", "processing", None, 0), event("b", "extracted", 0.5, 3)])
