@@ -9,11 +9,13 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from docfields.catalog.registry import all_queries  # noqa: E402
+from docfields.functions.materialize import release  # noqa: E402
 from docfields.session import build_session  # noqa: E402
 
 HEADLINES = [
@@ -33,7 +35,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("docfields-bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": os.environ.get("BENCH_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="docfields-bench-")})
     spark.sparkContext.setLogLevel("ERROR")
     wanted = sys.argv[1:] or HEADLINES
     queries = all_queries()
@@ -43,6 +46,7 @@ def main() -> None:
         started = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 3)
+        release(spark)
         print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["q_reports", "q_standardize", "q_layout", "q_flows", "q_streams"]
+SECTIONS = ["q_reports", "q_standardize", "q_layout", "q_flows", "q_streams", "q_sources"]
 
 
 def load_all() -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096  # positions per block
-WIDTH = 65536.0  # coordinate units per block: one block for a page, many for a huge entry
+WIDTH = 512.0  # coordinate units per block: a page is a few blocks, a huge entry many
 
 
 def _with_carry(

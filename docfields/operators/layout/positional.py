@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docfields.functions.kernels import ship_by_value
 from docfields.functions.materialize import materialize
 from docfields.functions.scans import ordered_rank, previous_value, running_max_through
 from docfields.operators.layout.anchors import per_entry
@@ -14,6 +18,8 @@ from docfields.operators.lines import ordered_text
 SAME_ROW, SAME_COLUMN, REACH = 30.0, 50.0, 150.0
 DEFAULT_CONFIDENCE = 0.5
 
+ship_by_value(__name__)
+
 
 def _value_of(label: Column, box: Column) -> Column:
     """Is ``box`` right of or below ``label`` and within reach?"""
@@ -51,31 +57,33 @@ def extract_by_label_position(entries: DataFrame, lines: DataFrame, template_fie
         F.coalesce("_conf", F.lit(0.0)).alias("confidence"))
 
 
+def _walk(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """The start of each coordinate's group, over rows sorted by (entry, run, coordinate); the state is one number."""
+    key, start = None, 0.0
+    for batch in batches:
+        starts = []
+        for entry, run, c in zip(*(batch[n].tolist() for n in ("entry_id", "_run", "_c"))):
+            if (entry, run) != key or c - start > threshold:
+                key, start = (entry, run), c
+            starts.append(start)
+        yield pd.DataFrame({"entry_id": batch["entry_id"], "_c": batch["_c"], "_start": starts})
+
+
 def _grouped(lines: DataFrame, edge: str, threshold: float, name: str) -> DataFrame:
     """Number groups of lines along one edge.
 
     A line opens a new group when it lies more than ``threshold`` from the group's first line. Only the
     distinct coordinates matter. A gap above the threshold between neighbours always opens a group, which
-    cuts a page into independent runs; within a run the greedy walk folds over the run's coordinates.
+    cuts a page into independent runs; within a run one ordered walk remembers the start of the open group.
     """
     coords = lines.filter("box is not null").select("entry_id", F.col(f"box.{edge}").alias("_c")).distinct()
     linked = previous_value(coords, ["entry_id"], "_c", "_prev")
     opens = F.col("_prev").isNull() | (F.col("_c") - F.col("_prev") > threshold)
     runs = running_max_through(linked, ["entry_id"], "_c", F.when(opens, F.col("_c")), "_run")
-    walk = F.aggregate(
-        "_cs", F.array().cast("array<double>"),
-        lambda starts, c: F.when(
-            (F.size(starts) == 0) | (c - F.element_at(starts, -1) > threshold), F.concat(starts, F.array(c))
-        ).otherwise(starts),
-    )
-    starts = materialize(
-        runs.groupBy("entry_id", "_run").agg(F.array_sort(F.collect_list("_c")).alias("_cs"))
-        .withColumn("_starts", walk)
-        .select("entry_id", F.explode(F.transform(
-            "_cs", lambda c: F.struct(
-                c.alias("_c"), F.array_max(F.filter("_starts", lambda s: s <= c)).alias("_start")))).alias("p"))
-        .select("entry_id", "p._c", "p._start")
-    )
+    ordered = runs.select("entry_id", "_run", "_c").repartition("entry_id", "_run").sortWithinPartitions("entry_id", "_run", "_c")
+    kind = lines.schema["entry_id"].dataType.simpleString()
+    starts = materialize(ordered.mapInPandas(
+        lambda batches: _walk(batches, threshold), f"entry_id {kind}, _c double, _start double"))
     numbered = ordered_rank(starts.select("entry_id", "_start").distinct(), ["entry_id"], "_start", ["_start"], name)
     placed = lines.filter("box is not null").withColumn("_c", F.col(f"box.{edge}"))
     return placed.join(starts, ["entry_id", "_c"]).join(numbered, ["entry_id", "_start"]).drop("_c", "_start")

@@ -12,7 +12,10 @@ from tools.compare import normal
 SF = "/root/testdata/sf0.001"
 CORE = ["confidence_report", "template_analysis", "field_analysis_by_correction_rate", "confidence_distribution", "evaluation_overall",
         "training_export", "standardize_schema", "standardize_ocr", "standardize_post", "standardize_bnr", "extract_template_map",
-        "extract_naive", "match_visual_boxes", "merge_multi_pass", "parse_flat_responses", "apply_verifications_fields", "classify_errors"]
+        "extract_naive", "match_visual_boxes", "merge_multi_pass", "parse_flat_responses", "apply_verifications_fields", "classify_errors",
+        "line_items_read", "apply_verifications_entries", "reuse_results_hits", "merge_ai_into_deterministic", "parse_wrapped_responses",
+        "resolution_requests", "rollup_entry", "classify_regions", "group_rows", "page_membership", "similar_labels", "stream_state_changes",
+        "stream_latest_status", "stream_field_windows", "stream_late_rows", "read_tables", "read_detections", "export_training_data"]
 NAMES = sorted(all_oracles()) if os.environ.get("DOCFIELDS_ALL") else CORE
 
 

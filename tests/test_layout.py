@@ -252,3 +252,23 @@ def test_reading_order_and_full_text(spark):
     assert [r.text for r in line_ops.reading_order(lines).orderBy("reading_no").collect()] == ["B", "A", "C"]
     many = spark.range(10000).selectExpr("1L AS entry_id", "id AS line_no", "string(id) AS text")
     assert line_ops.full_text(many).first().full_text == "\n".join(str(i) for i in range(10000))
+
+
+def test_a_hot_page_is_ranked_by_several_tasks(spark):
+    """One entry with page coordinates holds a third of all lines; its rows lie in several blocks."""
+    lines = spark.range(6000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 0 ELSE id END entry_id", "id line_no", "concat('t', id) text", "0.5D confidence",
+        "named_struct('top', (id * 7919) % 1999 + 0.0D, 'left', (id % 40) * 10.0D, 'bottom', 0.0D, 'right', 0.0D) box")
+    from docfields.functions import scans
+    blocks = lines.filter("entry_id = 0").selectExpr(f"floor(box.top / {scans.WIDTH}) b").distinct().count()
+    assert blocks > 2
+    ranked = scans.ordered_rank(lines.withColumn("top", F.col("box.top")), ["entry_id"], "top", ["top", "line_no"], "n")
+    hot = [(r.top, r.line_no, r.n) for r in ranked.filter("entry_id = 0").collect()]
+    assert [n for *_, n in sorted(hot)] == list(range(1, 2001))
+    assert ranked.withColumn("p", F.spark_partition_id()).filter("entry_id = 0").select("p").distinct().count() > 1
+
+
+def test_rows_of_an_unbroken_run(spark):
+    lines = spark.range(500).selectExpr("1L entry_id", "id line_no", "named_struct('top', id * 4.0D, 'left', 0.0D, 'bottom', 0.0D, 'right', 0.0D) box")
+    got = {r.line_no: r.row_no for r in positional.group_rows(lines).collect()}
+    assert got == {i: i // 4 + 1 for i in range(500)}
