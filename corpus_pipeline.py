@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document and what they decode to."""
-    coded = pieces.with_decoded_text(pieces.with_token_ids(docs, queries.model_path(), "text"), queries.model_path())
+    coded = pieces.with_round_trip(docs, queries.model_path(), "text")
     return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", "decoded_text")
 
 

@@ -15,8 +15,8 @@ from docfields.llm.batches import add_columns, append, ragged, slices
 
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
-_CACHED_CHUNKS = 250_000
-_CACHED_PAIRS = 500_000
+_CACHED_CHUNKS = 200_000
+_CACHED_PAIRS = 200_000
 _CACHED_LENGTH = 64
 # Piece types of the model format.
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -267,10 +267,27 @@ def with_token_ids(entries: DataFrame, model: str, text: str = "full_text", ids:
         for batch in slices(batches, text):
             found, offsets = encoder.batch(batch.column(text).to_pylist())
             yield append(batch, {ids: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))})
+        encoder.forget()  # the Python worker lives on
 
     return add_columns(entries, f"`{ids}` array<int>", make)
 
 
+def with_round_trip(entries: DataFrame, model: str, text: str = "full_text") -> DataFrame:
+    """Append ``token_ids`` and ``decoded_text`` in one pass; see ``with_token_ids`` and ``with_decoded_text``."""
+    pieces = read_pieces(model)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _once(Encoder, pieces), _once(Decoder, pieces)
+        for batch in slices(batches, text):
+            ids, offsets = encoder.batch(batch.column(text).to_pylist())
+            texts = [decoder.text(ids[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield append(batch, {"token_ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())),
+                                 "decoded_text": pa.array(texts, pa.string())})
+        encoder.forget()
+
+    return add_columns(entries, "token_ids array<int>, decoded_text string", make)
+
+
 def with_decoded_text(tokens: DataFrame, model: str, ids: str = "token_ids", text: str = "decoded_text") -> DataFrame:
     """Append ``text``: the decoding of the id list in each row.
 
@@ -298,5 +315,4 @@ def encoded_entries(entries: DataFrame, model: str, key: str = "entry_id", text:
     Null keys and repeated rows stay as they are; extra columns are ignored. See ``with_token_ids``.
     """
     rows = entries.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    made = with_decoded_text(with_token_ids(rows, model, "_text"), model)
-    return made.select(F.col("_key").alias(key), "token_ids", "decoded_text")
+    return with_round_trip(rows, model, "_text").select(F.col("_key").alias(key), "token_ids", "decoded_text")

@@ -84,27 +84,32 @@ def word_vectors(entries: DataFrame, text: str = "full_text") -> np.ndarray:
     return (table / np.maximum(np.sqrt((table**2).sum(axis=1, keepdims=True)), 1e-9)).astype(np.float32)
 
 
+def pooled_rows(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
+    """Mean and deviation of the word vectors of each text, how unevenly its words are spread over buckets, the share
+    of words that repeat the one before, and the logarithm of the number of words; zeros for a text without words."""
+    words, offsets = word_buckets(*text_bytes(texts))
+    sizes = np.diff(offsets)
+    rows = np.zeros((len(sizes), 2 * DIMENSIONS + 3), np.float32)
+    again = np.concatenate(([0], np.cumsum(np.concatenate((words[1:] == words[:-1], [False]))))) if len(words) else words
+    rows[:, -1] = np.log1p(sizes)
+    for i in np.flatnonzero(sizes).tolist():
+        ids, counts = np.unique(words[offsets[i]: offsets[i + 1]], return_counts=True)
+        share = counts / sizes[i]
+        held = vectors[ids].astype(np.float64)
+        mean = share @ held
+        rows[i, :DIMENSIONS] = mean
+        rows[i, DIMENSIONS:-3] = np.sqrt(np.maximum(share @ held**2 - mean**2, 0))
+        rows[i, -3] = (share**2).sum()
+        rows[i, -2] = (again[offsets[i + 1] - 1] - again[offsets[i]]) / sizes[i]
+    return rows
+
+
 def with_pooled_vector(entries: DataFrame, vectors: np.ndarray, text: str = "full_text") -> DataFrame:
-    """Append ``pooled`` (array<float>): mean and deviation of the word vectors of each text, how unevenly its words
-    are spread over buckets, the share of words that repeat the one before, and the logarithm of the number of words;
-    zeros for a text without words."""
+    """Append ``pooled`` (array<float>), the pooled vector of each text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            words, offsets = word_buckets(*text_bytes(batch.column(text)))
-            sizes = np.diff(offsets)
-            rows = np.zeros((len(sizes), 2 * DIMENSIONS + 3), np.float32)
-            again = np.concatenate(([0], np.cumsum(np.concatenate((words[1:] == words[:-1], [False]))))) if len(words) else words
-            rows[:, -1] = np.log1p(sizes)
-            for i in np.flatnonzero(sizes).tolist():
-                ids, counts = np.unique(words[offsets[i]: offsets[i + 1]], return_counts=True)
-                share = counts / sizes[i]
-                held = vectors[ids].astype(np.float64)
-                mean = share @ held
-                rows[i, :DIMENSIONS] = mean
-                rows[i, DIMENSIONS:-3] = np.sqrt(np.maximum(share @ held**2 - mean**2, 0))
-                rows[i, -3] = (share**2).sum()
-                rows[i, -2] = (again[offsets[i + 1] - 1] - again[offsets[i]]) / sizes[i]
+            rows = pooled_rows(batch.column(text), vectors)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1])
             yield append(batch, {"pooled": flat.cast(pa.list_(pa.float32()))})
 
@@ -219,5 +224,16 @@ def good_entries(entries: DataFrame, labels: DataFrame, key: str = "entry_id", t
     inner = entries.select(*[F.col(f"`{n}`").alias(f"_{i}") for i, n in enumerate(names)])
     k, t = f"_{names.index(key)}", f"_{names.index(text)}"
     net = fit(with_pooled_vector(inner.select(k, t), vectors, t), labels, k, label_key, label, max_labelled)
-    scored = _scored(with_pooled_vector(inner, vectors, t), net)
-    return scored.where(F.col("score") >= threshold).select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)])
+    return _kept(inner, vectors, net, t, threshold).select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)])
+
+
+def _kept(entries: DataFrame, vectors: np.ndarray, net: Network | None, text: str, threshold: float) -> DataFrame:
+    """Pooling, score and filter in one pass over the texts."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            x = pooled_rows(batch.column(text), vectors).astype(np.float64)
+            score = net.probability(x) if net else np.full(batch.num_rows, 0.5)
+            yield batch.filter(pa.array(score >= threshold))
+
+    return entries.mapInArrow(make, entries.schema)
