@@ -322,25 +322,25 @@ def _(v):
 
 
 def store(v):
-    """Stored results: every image's result, kept under its key from ten minutes before its upload."""
-    return v.images.selectExpr("template_id", "md5", "created_at - INTERVAL 10 MINUTES AS stored_at", "concat('r', entry_id) AS result")
+    """Stored results: every image's result, kept under its key from 10 or 40 minutes before its upload."""
+    return v.images.selectExpr("template_id", "md5", "created_at - make_interval(0, 0, 0, 0, 0, CAST(10 + entry_id % 2 * 30 AS INT)) AS stored_at", "concat('r', entry_id) AS result")
 
 
-STORE = """s AS (SELECT DISTINCT template_id, md5, created_at - INTERVAL 10 MINUTE AS stored_at FROM images),
+STORE = """s AS (SELECT DISTINCT template_id, md5, created_at - to_minutes(CAST(10 + entry_id % 2 * 30 AS INTEGER)) AS stored_at FROM images),
 m AS (SELECT i.entry_id, i.md5, i.created_at, s.stored_at FROM images i ASOF LEFT JOIN s
   ON i.template_id = s.template_id AND i.md5 = s.md5 AND i.created_at >= s.stored_at)"""
 
 
 @query("reuse_results_hits", ["images"], f"""
-WITH {STORE} SELECT entry_id, md5, stored_at FROM m WHERE created_at < stored_at + INTERVAL 9 MINUTE""")
+WITH {STORE} SELECT entry_id, md5, stored_at FROM m WHERE created_at < stored_at + INTERVAL 15 MINUTE""")
 def _(v):
-    return lifecycle.reuse_results(v.images.drop("text"), store(v), 540)[0].select("entry_id", "md5", "stored_at")
+    return lifecycle.reuse_results(v.images.drop("text"), store(v), 900)[0].select("entry_id", "md5", "stored_at")
 
 
 @query("reuse_results_misses", ["images"], f"""
-WITH {STORE} SELECT entry_id, md5 FROM m WHERE coalesce(created_at >= stored_at + INTERVAL 9 MINUTE, true)""")
+WITH {STORE} SELECT entry_id, md5 FROM m WHERE coalesce(created_at >= stored_at + INTERVAL 15 MINUTE, true)""")
 def _(v):
-    return lifecycle.reuse_results(v.images.drop("text"), store(v), 540)[1].select("entry_id", "md5")
+    return lifecycle.reuse_results(v.images.drop("text"), store(v), 900)[1].select("entry_id", "md5")
 
 
 @query("invalidate_results", ["images"], "SELECT template_id, count(*) AS n FROM images WHERE template_id <> 1 GROUP BY 1")
