@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfields.functions.materialize import materialize
-from docfields.llm.batches import RangeHash, append, mix, ragged, slices, text_bytes, window_min
+from docfields.llm.batches import RangeHash, append, mix, ragged, runs, slices, text_bytes, window_min
 
+LONG_WORDS = 20
+_INK = np.ones(256, bool)
+_INK[[0x20, *range(0x09, 0x0E)]] = False
 
 
 def line_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,8 +49,26 @@ def winnow(hashes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return starts, length, mark
 
 
-def _marked(entries: DataFrame, width: int) -> DataFrame:
-    """Rows (entry, fingerprint line, run of lines around it) of all windows."""
+def long_windows(data: np.ndarray, offsets: np.ndarray, lines: np.ndarray, starts: np.ndarray, width: int,
+                 long_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of fewer than ``width`` lines with ``long_words`` or more words. Runs of a whole
+    text are left out, as ``winnow`` has them."""
+    first = runs(_INK[data], offsets)[0]
+    before = np.searchsorted(first, np.concatenate((starts, [len(data)])))
+    sizes = np.diff(lines)
+    left = np.repeat(lines[1:], sizes) - np.arange(len(starts))
+    total = np.repeat(sizes, sizes)
+    at, length = [], []
+    for n in range(1, width):
+        found = np.flatnonzero(left >= n)
+        found = found[(before[found + n] - before[found] >= long_words) & (total[found] > n)]
+        at.append(found)
+        length.append(np.full(len(found), n))
+    return np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*length, np.zeros(0, np.int64)]).astype(np.int64)
+
+
+def _marked(entries: DataFrame, width: int, long_words: int) -> DataFrame:
+    """Rows (entry, smallest line, run of lines around it) of all windows."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
@@ -55,6 +76,10 @@ def _marked(entries: DataFrame, width: int) -> DataFrame:
             starts, ends, lines = line_ranges(data, offsets)
             hashes = RangeHash(data).of(starts, ends)
             at, size, mark = winnow(hashes, lines, width)
+            more, length = long_windows(data, offsets, lines, starts, width, long_words)
+            # A short run is found by itself: its first line stands for it, in short texts, too.
+            mark = np.where(size < width, at, mark)
+            at, size, mark = (np.concatenate(x) for x in ((at, more), (size, length), (mark, more)))
             run = RangeHash(hashes).of(at, at + size)
             row = np.searchsorted(lines, at, side="right") - 1
             yield pa.RecordBatch.from_arrays(
@@ -66,8 +91,10 @@ def _marked(entries: DataFrame, width: int) -> DataFrame:
     return entries.mapInArrow(make, f"_id {dict(entries.dtypes)['_id']}, _hash bigint, mark bigint, run bigint, start int, size int")
 
 
-def repeated_runs(entries: DataFrame, key: str = "entry_id", text: str = "full_text", width: int = 3) -> DataFrame:
-    """Runs of ``width`` lines that stand earlier too: rows (_id, _hash, start, size), by entry and first line.
+def repeated_runs(entries: DataFrame, key: str = "entry_id", text: str = "full_text", width: int = 3,
+                  long_words: int = LONG_WORDS) -> DataFrame:
+    """Runs of ``width`` lines, or of fewer with ``long_words`` words, that stand earlier too: rows (_id, _hash, start,
+    size), by entry and first line.
 
     The smallest line hash of each window of ``width`` lines is a fingerprint, so two texts that share ``width``
     lines in a row share a fingerprint at the same line of it. Occurrences of a fingerprint meet with the run of
@@ -76,7 +103,7 @@ def repeated_runs(entries: DataFrame, key: str = "entry_id", text: str = "full_t
     a join, which can be split if one run is very frequent.
     """
     rows = entries.select(F.col(key).alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"), F.col(text).alias("_text"))
-    marked = _marked(rows, width)
+    marked = _marked(rows, width, long_words)
     place = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_hash", "start")
     first = marked.groupBy("mark", "run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # Stored, so that the join reads two shuffled tables and can split a run that is very frequent.
@@ -85,13 +112,15 @@ def repeated_runs(entries: DataFrame, key: str = "entry_id", text: str = "full_t
     return both.where(place > F.col("first")).select("_id", "_hash", "start", "size")
 
 
-def deduplicated_lines(entries: DataFrame, key: str = "entry_id", text: str = "full_text", width: int = 3) -> DataFrame:
+def deduplicated_lines(entries: DataFrame, key: str = "entry_id", text: str = "full_text", width: int = 3,
+                       long_words: int = LONG_WORDS) -> DataFrame:
     """The form entries with their columns, ``text`` without the repeated lines, and ``n_removed_lines`` appended.
 
     A line is deleted if it lies in a run of ``width`` (or more) lines that stands verbatim earlier: in an entry with
-    a smaller key (null keys last), or further up in the same entry. The first occurrence of each run stays. A text
-    of fewer than ``width`` lines is one run as a whole. Lines are split at line feeds and compared exactly as they
-    are, by 64-bit hashes.
+    a smaller key (null keys last), or further up in the same entry. The first occurrence of each run stays. Fewer than
+    ``width`` lines are such a run, too, if they hold ``long_words`` or more words (runs of bytes other than ASCII
+    white space). A text of fewer than ``width`` lines is one run as a whole; if it has fewer words, only equal whole
+    texts are its copies. Lines are split at line feeds and compared exactly as they are, by 64-bit hashes.
 
     Null texts stay null, empty ones empty. Rows that repeat both key and text are one entry: all keep the same
     lines. A text all of whose lines are deleted becomes empty. Extra columns stay, whatever their names; a column
@@ -101,7 +130,7 @@ def deduplicated_lines(entries: DataFrame, key: str = "entry_id", text: str = "f
     at = {n: f"_c{i}" for i, n in enumerate(names)}
     rows = entries.select(*[F.col(f"`{n}`").alias(at[n]) for n in names]).withColumn(
         "_h", F.xxhash64(F.coalesce(at[text], F.lit(""))))
-    found = repeated_runs(rows, at[key], at[text], width)
+    found = repeated_runs(rows, at[key], at[text], width, long_words)
     # One list of runs per entry: it is bounded by the entry's own number of lines.
     gone = found.groupBy("_id", "_hash").agg(F.collect_set(F.struct("start", "size")).alias("_runs"))
     both = rows.join(gone, F.col(at[key]).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")

@@ -71,3 +71,17 @@ def test_every_window_has_one_fingerprint_inside():
     at, size, mark = repeated_lines.winnow(np.array([9, 3, 7, 3, 5, 1, 1, 1], np.uint64), lines, 3)
     assert at.tolist() == [0, 1, 4, 5] and size.tolist() == [3, 3, 1, 3]
     assert ((mark >= at) & (mark < at + size)).all()
+
+
+def test_long_lines_are_runs_of_their_own(spark):
+    long, other = (" ".join(f"{c}{i}" for i in range(25)) for c in "ab")
+    half = [" ".join(f"h{j}{i}" for i in range(12)) for j in range(2)]
+    short = " ".join(f"s{i}" for i in range(19))
+    rows = [(1, f"x\n{long}\ny\n{short}\nz"), (2, f"p\nq\n{long}\nr"), (3, long), (4, f"k\n{short}\nl\nm"), (5, short),
+            (6, "\n".join(half)), (7, "\n".join(["c", "d", *half, "e"])), (8, half[0]), (9, f"n\n{other}"), (10, other), (11, f"{other}\nt")]
+    df = spark.createDataFrame(rows, "entry_id bigint, full_text string").repartition(3)
+    got = {r.entry_id: (r.full_text, r.n_removed_lines) for r in repeated_lines.deduplicated_lines(df).collect()}
+    kept = {1: 0, 4: 0, 5: 0, 6: 0, 8: 0, 9: 0}
+    assert {k: got[k] for k in kept} == {k: (dict(rows)[k], 0) for k in kept}
+    assert got[2] == ("p\nq\nr", 1) and got[3] == ("", 1) and got[7] == ("c\nd\ne", 2)
+    assert got[10] == ("", 1) and got[11] == ("t", 1)
