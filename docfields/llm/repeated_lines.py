@@ -1,4 +1,4 @@
-"""Runs of lines that stand in several form texts, found by winnowing over line hashes."""
+"""Runs of lines that stand in several form texts, found by exact grouping of window hashes."""
 
 from __future__ import annotations
 
@@ -96,10 +96,10 @@ def repeated_runs(entries: DataFrame, key: str = "entry_id", text: str = "full_t
     """Runs of ``width`` lines, or of fewer with ``long_words`` words, that stand earlier too: rows (_id, _hash, start,
     size), by entry and first line.
 
-    The smallest line hash of each window of ``width`` lines is a fingerprint, so two texts that share ``width``
-    lines in a row share a fingerprint at the same line of it. Occurrences of a fingerprint meet with the run of
-    lines around it, to both sides, and the first occurrence of each run (by key, then text hash, then line) keeps
-    it. First places are a minimum per fingerprint and run, combined before the shuffle; the comparison with them is
+    Windows are grouped by the hash of their run of lines, and by its smallest line hash, which follows from the run:
+    plain grouping in place of winnowing, as nothing is thinned out or extended. The first occurrence of each run (by
+    key, then text hash, then line) keeps
+    it. First places are a minimum per run, combined before the shuffle; the comparison with them is
     a join, which can be split if one run is very frequent.
     """
     rows = entries.select(F.col(key).alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"), F.col(text).alias("_text"))
