@@ -201,7 +201,9 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def with_benchmark_matches(entries: DataFrame, items: DataFrame, text: str = "full_text", item_key: str = "item_id",
                            item_text: str = "text", width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Append to each form entry what it shares with the benchmark ``items``: ``n_words``, ``n_hit``, ``hit_spans``
-    (word ranges), ``item_ids`` (sorted) and ``longest_match`` (the longest verbatim match and where it is).
+    (word ranges), ``item_ids`` (sorted) and ``longest_match`` (the longest verbatim match and where it is). That match
+    holds a whole window and is extended from the first place of the window in its block of the items only: a longer
+    match with a later item that has the same window, or one shorter than a window of its item, is not given there.
 
     Words are runs of digits, letters and characters beyond ASCII, A-Z lower-cased, of the whole text, compared by
     64-bit hashes. A window is ``width`` consecutive words of an item; a shorter item with words is one window. A
