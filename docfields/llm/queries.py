@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm import contamination, near_entries, pieces, quality, repeated_lines, repeated_passages, repeated_text, url_rules, vector_search, word_pieces
+from docfields.llm import collocations, contamination, near_entries, pieces, quality, repeated_lines, repeated_passages, repeated_text, url_rules, vector_search, word_pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "component_id")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _table(spark, sf_dir, "documents").select(F.col("text").alias("full_text"), "lang")
+    return collocations.collocations(texts, group="lang", no_group="und")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
 
 # SQL cannot say these methods at this size; tests/llm holds each query against a brute-force version.
