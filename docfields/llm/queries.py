@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm import collocations, contamination, near_entries, pieces, quality, repeated_lines, repeated_passages, repeated_text, url_rules, vector_search, word_pieces
+from docfields.llm import collocations, contamination, filter_audit, near_entries, packing, pieces, quality, repeated_lines, repeated_passages, repeated_text, url_rules, vector_search, word_pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,22 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(texts, group="lang", no_group="und")
 
 
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("entry_id"), F.col("text").alias("full_text"), F.col("lang").alias("template_id"))
+    judged = _table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("entry_id"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    return filter_audit.filter_interactions(entries, judged)
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.token_pieces(_entries(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed(pieces.select(
+        F.col("entry_id").alias("doc_id"), "piece", "start", "length", F.crc32("token_ids").alias("ids_crc32")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
@@ -107,7 +123,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_filter_interaction_audit": op12_filter_interaction_audit,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
-# SQL cannot say these methods at this size; tests/llm holds each query against a brute-force version.
-ORACLES: dict[str, str] = {}
+# SQL cannot say the other methods at this size; tests/llm holds each query against a brute-force version.
+ORACLES: dict[str, str] = {"op12_filter_interaction_audit": r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM texts),
+failed AS (
+  SELECT doc_id, part,
+    (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask
+  FROM split),
+judged AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failed LEFT JOIN judged USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (
+  SELECT a.c || b.c || d.c || e.c || f.c AS filter_order FROM letters a, letters b, letters d, letters e, letters f
+  WHERE len(list_distinct([a.c, b.c, d.c, e.c, f.c])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+bits AS (
+  SELECT filter_order, step, 1 << (ascii(substr(filter_order, step::INT, 1)) - 65) AS bit,
+    coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i::INT, 1)) - 65))), 0)::BIGINT AS earlier
+  FROM steps),
+totals AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (earlier | bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & earlier = 0 AND mask & bit <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & earlier <> 0 AND mask & bit <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & earlier = 0 AND mask & bit <> 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & earlier = 0 AND mask & bit <> 0), 0) AS toxic_lost
+  FROM masks CROSS JOIN bits GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM totals
+"""}
