@@ -1,6 +1,7 @@
 """Line deduplication against a comparison of all windows of lines."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -10,17 +11,21 @@ from docfields.llm import repeated_lines
 from docfields.llm.batches import text_bytes
 
 
-def brute(rows, width):
-    """(key, kept text, removed lines) by a scan in the order of keys."""
+def brute(rows, width, long_words=repeated_lines.LONG_WORDS):
+    """(key, kept text, removed lines) by a scan in the order of keys: runs of ``width`` lines, whole shorter texts, and
+    runs of fewer lines with ``long_words`` words."""
     seen, out = {}, []
     for key, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
         lines = text.split("\n") if text else []
         k = min(width, len(lines))
         gone = set()
-        for s in range(len(lines) - k + 1) if lines else ():
-            run = tuple(lines[s:s + k])
+        sizes = [n for n in range(1, k) if lines] + [k] * bool(lines)
+        for n, s in ((n, s) for n in sizes for s in range(len(lines) - n + 1)):
+            run = tuple(lines[s:s + n])
+            if n < k and sum(len(re.findall(r"[^\x20\x09-\x0D]+", line)) for line in run) < long_words:
+                continue
             if run in seen:
-                gone |= set(range(s, s + k))
+                gone |= set(range(s, s + n))
             seen.setdefault(run, (key, s))
         kept = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text
         out += [(key, kept, len(gone))] * rows.count((key, text))
