@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 SLICE_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+# Range hashes are polynomials modulo this prime; modulo a power of two, some different texts would always collide.
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
+_BASE, *_OF_BYTES = np.random.default_rng(20240607).integers(1 << 32, PRIME, 257, dtype=np.uint64).tolist()
+_VALUES = np.array(_OF_BYTES, np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,12 +46,32 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             yield batch.slice(start)
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers.get(name, ())) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
-        steps[0] = 1
-        _powers[name] = np.multiply.accumulate(steps)
-    return _powers[name][:n]
+def _low(bits: int) -> np.uint64:
+    return np.uint64((1 << bits) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo the prime."""
+    x = (x & _P) + (x >> np.uint64(61))
+    x -= _P * (x >= _P)
+    return x
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, from products of halves."""
+    a_high, a_low, b_high, b_low = a >> np.uint64(31), a & _low(31), b >> np.uint64(31), b & _low(31)
+    middle = a_low * b_high + a_high * b_low
+    return _reduced(((a_high * b_high) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & _low(30)) << np.uint64(31)) + a_low * b_low)
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    held = _powers.get(base, np.ones(1, np.uint64))
+    if len(held) < n:
+        size = max(n, SLICE_BYTES + 2)
+        while len(held) < size:
+            held = np.concatenate((held, times(held, np.uint64(pow(base, len(held), PRIME)))))
+        _powers[base] = held
+    return held[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -62,20 +84,26 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class RangeHash:
-    """64-bit hashes of any ranges of one sequence, from prefix sums of a polynomial modulo 2**64."""
+    """64-bit hashes of any ranges of one sequence, from prefix sums of a polynomial modulo a prime."""
 
     def __init__(self, values: np.ndarray):
         """``values``: bytes, or uint64 hashes of larger units."""
-        values = _VALUES[values] if values.dtype == np.uint8 else values
+        values = _VALUES[values] if values.dtype == np.uint8 else _reduced(values)
+        terms = times(values, _power(_BASE, len(values)))
+        # Sums of halves do not overflow; the upper one counts 2**32 times, which turns bits 29 and up to the lower end.
+        high = np.cumsum(terms >> np.uint64(32), dtype=np.uint64)
         self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * _power("up", _BASE, len(values)), out=self.sums[1:])
+        self.sums[1:] = _reduced((high >> np.uint64(29)) + ((high & _low(29)) << np.uint64(32)) + _reduced(np.cumsum(terms & _low(32), dtype=np.uint64)))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of [start, end): equal ranges have equal hashes wherever they stand."""
         if len(start) == 0:
             return np.zeros(0, np.uint64)
-        shift = _power("down", _INVERSE, len(self.sums))[start]
-        return mix((self.sums[end] - self.sums[start]) * shift + (end - start).astype(np.uint64))
+        return _spread(self.sums[end] + _P - self.sums[start], _power(pow(_BASE, -1, PRIME), len(self.sums))[start], (end - start).astype(np.uint64))
+
+
+def _spread(sums: np.ndarray, shift: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mix(times(_reduced(sums), shift) + length * np.uint64(0x9E3779B97F4A7C15))
 
 
 def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,4 +165,5 @@ def fixed_hashes(data: np.ndarray, width: int) -> np.ndarray:
     if len(data) < width:
         return np.zeros(0, np.uint64)
     sums = RangeHash(data).sums
-    return mix((sums[width:] - sums[:-width]) * _power("down", _INVERSE, len(sums) - width))
+    shift = _power(pow(_BASE, -1, PRIME), len(sums) - width)
+    return _spread(sums[width:] + _P - sums[:-width], shift, np.array([width], np.uint64))
