@@ -19,7 +19,9 @@ from docfields.functions.materialize import materialize
 from docfields.llm.batches import LOWER, fields_of, ragged, slices, text_bytes
 
 CAPACITY = 2048
-_CACHED_CHUNKS = 400_000
+_CACHED_CHUNKS = 800_000
+_SLICE_BYTES = 4 << 20
+_TOGETHER = 2_000
 _GROUP_ROWS = 1 << 18
 
 # Kinds of bytes: white space, letters, digits, apostrophe, other ASCII, parts of longer characters.
@@ -34,6 +36,7 @@ _CUT = np.zeros((6, 6), bool)
 _CUT[[_LETTER, _DIGIT], _OTHER] = _CUT[[_LETTER, _DIGIT], _APOSTROPHE] = _CUT[_OTHER, [_LETTER, _DIGIT]] = True
 _CUT[_LETTER, _DIGIT] = _CUT[_DIGIT, _LETTER] = _CUT[_DIGIT, _DIGIT] = True
 _CUT[_SPACE] = _CUT[:, _SPACE] = True
+_CUT_OF_PAIR = _CUT.ravel()
 
 # The steps before BPE of tokenizers whose texts may be cut into chunks as above.
 _CHUNKED = (
@@ -47,8 +50,8 @@ class Encoder:
 
     Where the tokenizer drops white space and keeps letters, single digits and other characters apart, a text is cut
     into chunks at places where it starts a new token whatever stands around it, so each distinct chunk is encoded once.
-    Both sides of a cut are ASCII, so no character is composed over it. Texts with a special token in them, and all
-    texts of other tokenizers, are encoded as a whole.
+    Both sides of a cut are ASCII, so no character is composed over it. New chunks are encoded some at a time, parted by
+    a special token. Texts with a special token in them, and all texts of other tokenizers, are encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -56,12 +59,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        added = self.library.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        parting = [(i, t.content) for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         with open(path, encoding="utf-8") as f:
             steps = json.load(f)
         before = steps.get("pre_tokenizer") or {}
         cut = next(iter(before.get("pretokenizers", [])), {})
-        self.chunked = ((steps.get("normalizer") or {}).get("normalizers"), (cut.get("pattern") or {}).get("Regex")) == _CHUNKED
+        self.parting_id, self.parting = parting[-1] if parting else (0, "")
+        self.chunked = bool(parting) and ((steps.get("normalizer") or {}).get("normalizers"), (cut.get("pattern") or {}).get("Regex")) == _CHUNKED
         self.clear()
 
     def clear(self) -> None:
@@ -70,9 +76,11 @@ class Encoder:
         self.used = 0
 
     def _learn(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int32, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
+        joined = [self.parting.join([*chunks[i: i + _TOGETHER], ""]) for i in range(0, len(chunks), _TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == self.parting_id)
+        sizes = np.diff(ends, prepend=-1) - 1
+        flat = ids[ids != self.parting_id]
         n, used = len(self.known), self.used
         for name, rows, at in (("flat", flat, used), ("start", np.cumsum(sizes) - sizes + used, n), ("size", sizes, n)):
             held = getattr(self, name)
@@ -107,7 +115,7 @@ class Encoder:
         data = np.where(plain, LOWER[data], data)
         kind = _KIND[data]
         first = np.ones(len(data), bool)
-        first[1:] = _CUT[kind[:-1], kind[1:]]
+        first[1:] = _CUT_OF_PAIR[kind[:-1] * np.uint8(6) + kind[1:]]
         first[offsets[:-1][offsets[:-1] < len(data)]] = True
         ink = kind != _SPACE
         at = np.flatnonzero(first & ink)
@@ -115,9 +123,11 @@ class Encoder:
         bounds = np.append((np.cumsum(ink) - 1)[at], int(ink.sum())).astype(np.int64)
         chunks = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(data[ink])]).dictionary_encode()
         words = chunks.dictionary.to_pylist()
-        if len(self.known) + len(words) > _CACHED_CHUNKS:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > _CACHED_CHUNKS:
             self.clear()
-        if new := [w for w in words if w not in self.known]:
+            new = words
+        if new:
             self._learn(new)
         place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[chunks.indices.to_numpy(zero_copy_only=False)]
         sizes = self.size[place].astype(np.int64)
@@ -146,7 +156,7 @@ def token_pieces(entries: DataFrame, tokenizer: str, end_id: int = 0, longest: i
     schema["_id"].dataType = rows.schema["_id"].dataType
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", _SLICE_BYTES):
             ids, offsets = _encoder(tokenizer).encode(batch.column("_text"))
             sizes = np.diff(offsets) + 1
             ends = np.cumsum(sizes)
