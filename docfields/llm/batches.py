@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 SLICE_BYTES = 1 << 20
+_SHORT = 64
 # Range hashes are polynomials modulo this prime; modulo a power of two, some different texts would always collide.
 PRIME = (1 << 61) - 1
 _P = np.uint64(PRIME)
@@ -106,6 +108,31 @@ def _spread(sums: np.ndarray, shift: np.ndarray, length: np.ndarray) -> np.ndarr
     return mix(times(_reduced(sums), shift) + length * np.uint64(0x9E3779B97F4A7C15))
 
 
+def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words or lines [start, end) of a byte array that do not overlap: equal bytes, equal hashes.
+
+    Eight bytes at a time for all of them together; of what is longer than ``_SHORT`` bytes each is hashed by itself.
+    """
+    size = end - start
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,), writeable=False)
+    h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D))
+    left = np.flatnonzero((size > 0) & (size <= _SHORT))
+    at, rest, held = start[left], size[left], h[left]
+    while len(left):
+        # The last bytes of a word: what follows them is masked out.
+        spare = np.maximum(8 - rest, 0).astype(np.uint64) * np.uint64(8)
+        held = mix((held ^ (eights[at] << spare >> spare)) * np.uint64(0xD6E8FEB86659FD93))
+        h[left] = held
+        more = rest > 8
+        left, at, rest, held = left[more], at[more] + 8, rest[more] - 8, held[more]
+    long = np.flatnonzero(size > _SHORT)
+    if len(long):
+        text = memoryview(data)
+        h[long] = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return h
+
+
 def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of ``member`` positions; runs end at text boundaries."""
     n = len(member)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfields.functions.materialize import materialize
-from docfields.llm.batches import LOWER, RangeHash, mix, runs, slices, text_bytes
+from docfields.llm.batches import LOWER, hashes_of, mix, runs, slices, text_bytes
 
 LENGTH = 4
 BUDGET = 1 << 21
@@ -58,9 +58,9 @@ class Suffixes:
         self.groups = coded.dictionary
         self.code = coded.indices.to_numpy(zero_copy_only=False)[row].astype(np.int32)
         seen, at = text_bytes(self.words)
-        self._hash = RangeHash(seen).of(at[:-1], at[1:])
+        self._hash = hashes_of(seen, at[:-1], at[1:])
         seen, at = text_bytes(self.groups)
-        self._group_hash = RangeHash(seen).of(at[:-1], at[1:])
+        self._group_hash = hashes_of(seen, at[:-1], at[1:])
 
     def prefix_hash(self, at: np.ndarray, depth: int) -> np.ndarray:
         """Hash of the first ``depth`` words of the suffixes at ``at``, all of which have as many."""

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.batches import LOWER, RangeHash, add_columns, append, ragged, runs, slices, text_bytes
+from docfields.llm.batches import LOWER, RangeHash, add_columns, append, hashes_of, ragged, runs, slices, text_bytes
 
 BLOCK_BYTES = 16 << 20
 # Word characters after lower-casing: digits, letters and every byte of a character beyond ASCII.
@@ -32,7 +32,7 @@ class Words:
     def of(data: np.ndarray, offsets: np.ndarray) -> Words:
         data = LOWER[data]
         starts, ends = runs(_WORD[data], offsets)
-        return Words(RangeHash(data).of(starts, ends), np.searchsorted(starts, offsets))
+        return Words(hashes_of(data, starts, ends), np.searchsorted(starts, offsets))
 
     def left(self) -> np.ndarray:
         """For each word the number of words from it to the end of its text."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docfields.functions.materialize import materialize
-from docfields.llm.batches import RangeHash, add_columns, append, mix, slices, text_bytes
+from docfields.llm.batches import add_columns, append, hashes_of, mix, slices, text_bytes
 
 BUCKETS = 1 << 14
 DIMENSIONS = 32
@@ -40,7 +40,7 @@ def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     starts, ends = at[:-1], at[1:]
     word = kind[starts] > 0
     starts, ends = starts[word], ends[word]
-    return (RangeHash(data).of(starts, ends) % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(starts, offsets)
+    return (hashes_of(data, starts, ends) % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(starts, offsets)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfields.functions.materialize import materialize
-from docfields.llm.batches import RangeHash, append, mix, ragged, runs, slices, text_bytes, window_min
+from docfields.llm.batches import RangeHash, append, hashes_of, mix, ragged, runs, slices, text_bytes, window_min
 
 LONG_WORDS = 20
 _INK = np.ones(256, bool)
@@ -74,7 +74,7 @@ def _marked(entries: DataFrame, width: int, long_words: int) -> DataFrame:
         for batch in slices(batches, "_text"):
             data, offsets = text_bytes(batch.column("_text"))
             starts, ends, lines = line_ranges(data, offsets)
-            hashes = RangeHash(data).of(starts, ends)
+            hashes = hashes_of(data, starts, ends)
             at, size, mark = winnow(hashes, lines, width)
             more, length = long_windows(data, offsets, lines, starts, width, long_words)
             # A short run is found by itself: its first line stands for it, in short texts, too.

@@ -36,6 +36,23 @@ def test_equal_ranges_have_equal_hashes():
     assert (b.fixed_hashes(text, 7) == h.of(np.arange(len(text) - 6), np.arange(len(text) - 6) + 7)).all()
 
 
+def test_hashes_of_words_and_lines():
+    rng = random.Random(3)
+    words = [bytes(rng.choice(b"ab\x00") for _ in range(rng.choice([0, 1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 200]))) for _ in range(4000)]
+    words += [b"a" * n for n in range(300)] + [b"\x00" * n for n in range(100)]
+    for gap in (b"", b" ", b"zz"):
+        data = np.frombuffer(gap + gap.join(words), np.uint8)
+        size = np.array([len(w) for w in words])
+        end = np.cumsum(size + len(gap))
+        got = b.hashes_of(data, end - size, end).tolist()
+        by_word = dict(zip(words, got))
+        assert all(by_word[w] == h for w, h in zip(words, got)) and len(set(by_word.values())) == len(by_word)
+        if gap:
+            assert by_word == before
+        before = by_word
+    assert len(b.hashes_of(np.zeros(0, np.uint8), np.zeros(0, int), np.zeros(0, int))) == 0
+
+
 def test_texts_that_collide_modulo_powers_of_two():
     for n in (1024, 2048, 4096):
         x, y = (np.frombuffer(thue_morse(n, p).encode(), np.uint8) for p in ("ab", "ba"))
