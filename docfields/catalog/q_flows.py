@@ -252,6 +252,32 @@ def _(v):
     return lifecycle.reset_for_retry(v.entries, v.fields, asked(v))[1].select("entry_id", "field_name")
 
 
+def retries(v):
+    """Every customer asks for the retry of the entry of its number (some do not exist) and of one of its own."""
+    own = v.entries.groupBy(F.col("uploaded_by").alias("user_id")).agg(F.max("entry_id").alias("entry_id"))
+    return v.customer.select(F.col("c_custkey").alias("entry_id"), F.col("c_custkey").alias("user_id")).unionByName(own)
+
+
+RETRIES = """q AS (SELECT c_custkey AS entry_id, c_custkey AS user_id FROM customer UNION ALL SELECT max(entry_id), uploaded_by FROM entries GROUP BY 2),
+k AS (SELECT q.*, CASE WHEN e.entry_id IS NULL THEN 'entry not found'
+    WHEN coalesce(role, 'encoder') = 'encoder' AND uploaded_by IS DISTINCT FROM q.user_id THEN 'not the uploader'
+    WHEN e.status NOT IN ('uploaded', 'processing') THEN 'cannot retry in status ' || e.status END AS reason
+  FROM q LEFT JOIN entries e USING (entry_id) LEFT JOIN users u ON u.user_id = q.user_id)"""
+
+
+@query("retry_requests_rejects", ["entries", "users"], f"WITH {RETRIES} SELECT entry_id, user_id, reason FROM k WHERE reason IS NOT NULL")
+def _(v):
+    return lifecycle.retry_requests(v.entries, v.fields, retries(v), v.users)["rejects"].select("entry_id", "user_id", "reason")
+
+
+@query("retry_requests_entries", ["entries", "users"], f"""
+WITH {RETRIES}, x AS (SELECT DISTINCT entry_id FROM k WHERE reason IS NULL)
+SELECT entry_id, CASE WHEN x.entry_id IS NOT NULL THEN 'uploaded' ELSE status END AS status,
+  CASE WHEN x.entry_id IS NULL THEN confidence_score END AS confidence_score FROM entries LEFT JOIN x USING (entry_id)""")
+def _(v):
+    return lifecycle.retry_requests(v.entries, v.fields, retries(v), v.users)["entries"].select("entry_id", "status", "confidence_score")
+
+
 @query("delete_entries", ["entries", "fields"], f"""
 SELECT entry_id, 'entry' AS kind, count(*) AS n FROM entries WHERE entry_id NOT IN {ASKED} GROUP BY 1
 UNION ALL SELECT entry_id, 'field', count(*) FROM fields WHERE entry_id NOT IN {ASKED} GROUP BY 1""")

@@ -364,6 +364,18 @@ def _(v):
     return paging.page(filters.matching(v.entries, status="extracted"), 3, 20).select("entry_id", "created_at")
 
 
+@query("entry_page_after", ["entries"], """
+WITH p AS (SELECT created_at, entry_id FROM entries WHERE status = 'extracted' ORDER BY created_at DESC, entry_id LIMIT 1 OFFSET 39)
+SELECT e.entry_id, e.created_at FROM entries e, p WHERE status = 'extracted'
+  AND (e.created_at < p.created_at OR (e.created_at = p.created_at AND e.entry_id > p.entry_id))
+ORDER BY e.created_at DESC, e.entry_id LIMIT 20""")
+def _(v):
+    """The third page, continued from the last row of the second."""
+    extracted = filters.matching(v.entries, status="extracted")
+    last = paging.page(extracted, 2, 20).collect()[-1]
+    return paging.page_after(extracted, str(last.created_at), last.entry_id, 20).select("entry_id", "created_at")
+
+
 @query("entry_page_counts", ["entries"],
        "SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages FROM entries WHERE status = 'extracted'")
 def _(v):

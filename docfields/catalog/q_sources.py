@@ -36,17 +36,21 @@ def _(v):
         "entry_id", "template_id", "status", "confidence_score", "full_name", "role")
 
 
-@query("read_detections", ["detections", "entries"], """
-SELECT 'template=' || template_id AS document, name, state, count(*) AS n, min(anchor_text) AS first_text, max(anchor_text) AS last_text
-FROM detections JOIN entries USING (entry_id) GROUP BY 1, 2, 3""")
+@query("read_detections", ["detections"], """
+SELECT CAST(entry_id AS VARCHAR) AS entry_id, det_no, name, state, round(confidence, 3) AS confidence, anchor_text,
+  det_no * 10.5e0 AS top, CASE WHEN det_no <> 3 THEN CAST(entry_id % 500 AS DOUBLE) END AS "left",
+  det_no * 10.5e0 + 8 AS bottom, CASE WHEN det_no <> 3 THEN CAST(entry_id % 500 + 40 AS DOUBLE) END AS "right", det_no = 2 AS no_box
+FROM detections WHERE det_no <> 2
+UNION ALL SELECT CAST(entry_id AS VARCHAR), det_no, name, state, round(confidence, 3), anchor_text, NULL, NULL, NULL, NULL, true
+FROM detections WHERE det_no = 2""")
 def _(v):
-    # One document for each template: a folder for each entry would be as many files as entries.
     path = folder(v)
-    placed = v.detections.join(v.entries.select("entry_id", "template_id"), "entry_id").drop("entry_id").withColumnRenamed(
-        "template_id", "entry_id").withColumn("box", F.lit(None).cast("struct<top:double,left:double,bottom:double,right:double>"))
-    documents.detection_documents(placed).withColumnRenamed("entry_id", "template").write.partitionBy("template").json(path)
-    return documents.read_detections(v.spark, path).groupBy(F.col("entry_id").alias("document"), "name", "state").agg(
-        F.count(F.lit(1)).alias("n"), F.min("anchor_text").alias("first_text"), F.max("anchor_text").alias("last_text"))
+    left = F.when(F.col("det_no") != 3, (F.col("entry_id") % 500).cast("double"))
+    box = F.struct((F.col("det_no") * 10.5).alias("top"), left.alias("left"), (F.col("det_no") * 10.5 + 8).alias("bottom"),
+                   (left + 40).alias("right"))
+    documents.write_detections(v.detections.withColumn("box", F.when(F.col("det_no") != 2, box)), path)
+    return documents.read_detections(v.spark, path, lines=True).select(
+        "entry_id", "det_no", "name", "state", "confidence", "anchor_text", "box.*", F.col("box").isNull().alias("no_box"))
 
 
 @query("export_training_data", ["entries", "fields", "templates"], f"""

@@ -71,7 +71,7 @@ def detect_checkboxes(lines: DataFrame) -> DataFrame:
             (F.col("_s.confidence") * F.coalesce("confidence", F.lit(LINE_CONFIDENCE))).alias("confidence"),
             "box", "anchor_text")
     )
-    return ordered_rank(rows, ["entry_id"], "_top", ["_top", "group_no", "line_no"], "det_no").select(
+    return ordered_rank(rows, ["entry_id"], ["_top", "group_no", "line_no"], "det_no").select(
         "entry_id", "det_no", "line_no", "name", "state", "confidence", "box", "anchor_text")
 
 

@@ -144,7 +144,7 @@ def classify_regions(lines: DataFrame) -> DataFrame:
     placed = bounds.withColumns({
         "_top": F.col("box.top"),
         "_kind": F.when(kind == "section_title", 0).when(kind == "checkbox_group", 1).otherwise(2)})
-    ranked = ordered_rank(placed, ["entry_id"], "_top", ["_top", "_kind", "first_line"], "region_no")
+    ranked = ordered_rank(placed, ["entry_id"], ["_top", "_kind", "first_line"], "region_no")
     return ranked.select(
         "entry_id", "region_no", "region_type", F.coalesce(F.nullif("_name", F.lit("")), fallback).alias("name"), "box",
         confidence.alias("confidence"), "first_line", "line_count")

@@ -89,6 +89,31 @@ def reset_for_retry(entries: DataFrame, fields: DataFrame, ids: DataFrame) -> tu
             fields.join(reset, "entry_id", "left_anti"))
 
 
+def check_retries(entries: DataFrame, requests: DataFrame, users: DataFrame) -> DataFrame:
+    """Add ``reason`` to requests (entry_id, user_id); NULL = accepted.
+
+    Reasons in the order of the checks: a missing entry, a foreign entry of an encoder, a status that is not waiting or
+    being processed. A user who is not known has the rights of an encoder.
+    """
+    roles = users.select("user_id", "role")
+    state = entries.select("entry_id", "uploaded_by", "status")
+    reason = (
+        F.when(F.col("status").isNull(), "entry not found")
+        .when((F.lower(F.coalesce("role", F.lit("encoder"))) == "encoder") & ~F.col("uploaded_by").eqNullSafe(F.col("user_id")),
+              "not the uploader")
+        .when(~F.lower("status").isin(filters.RETRYABLE), F.concat(F.lit("cannot retry in status "), F.lower("status")))
+    )
+    return requests.join(state, "entry_id", "left").join(roles, "user_id", "left").withColumn("reason", reason).drop(
+        "uploaded_by", "status", "role")
+
+
+def retry_requests(entries: DataFrame, fields: DataFrame, requests: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
+    """Retries asked for by users: returns entries, fields and rejects (the refused requests with their reason)."""
+    checked = check_retries(entries, requests, users)
+    new_entries, new_fields = reset_for_retry(entries, fields, checked.filter("reason is null"))
+    return {"entries": new_entries, "fields": new_fields, "rejects": checked.filter("reason is not null")}
+
+
 def delete_entries(entries: DataFrame, fields: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove entries and, with them, their fields."""
     return entries.join(ids, "entry_id", "left_anti"), fields.join(ids, "entry_id", "left_anti")

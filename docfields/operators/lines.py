@@ -136,7 +136,7 @@ def pattern_inventory(lines: DataFrame) -> DataFrame:
 def reading_order(lines: DataFrame) -> DataFrame:
     """Number the lines of an entry by (top, left), ties by line number."""
     placed = lines.withColumns({"_top": F.col("box.top"), "_left": F.col("box.left")})
-    return ordered_rank(placed, ["entry_id"], "_top", ["_top", "_left", "line_no"], "reading_no").drop("_top", "_left")
+    return ordered_rank(placed, ["entry_id"], ["_top", "_left", "line_no"], "reading_no").drop("_top", "_left")
 
 
 def next_lines(lines: DataFrame) -> DataFrame:

@@ -6,20 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _DETECTION_DOCUMENT = (
-    "total_checkboxes_detected int, checkboxes array<struct<name:string,state:string,confidence:double,"
-    "anchor_text:string,bbox:struct<top:double,left:double,bottom:double,right:double,width:double,height:double>>>"
+    "entry_id string, total_checkboxes_detected int, checkboxes array<struct<det_no:bigint,name:string,state:string,"
+    "confidence:double,anchor_text:string,bbox:struct<top:double,left:double,bottom:double,right:double,width:double,height:double>>>"
 )
 
 
-def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    """One row per checkbox of the nested JSON documents; the entry id is the parent folder's name."""
+def read_detections(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per checkbox of the nested JSON documents.
+
+    A file is one document, or one a line with ``lines``. The entry is named in the document, else by its parent folder;
+    checkboxes are numbered in the document, else by position.
+    """
     documents = (
-        spark.read.schema(_DETECTION_DOCUMENT).option("multiLine", True)
+        spark.read.schema(_DETECTION_DOCUMENT).option("multiLine", not lines)
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
-        .withColumn("entry_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+        .withColumn("entry_id", F.coalesce("entry_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)))
     )
-    return documents.select("entry_id", F.posexplode("checkboxes").alias("det_no", "c")).select(
-        "entry_id", "det_no", "c.name", "c.state", "c.confidence",
+    return documents.select("entry_id", F.posexplode("checkboxes").alias("_at", "c")).select(
+        "entry_id", F.coalesce("c.det_no", "_at").alias("det_no"), "c.name", "c.state", "c.confidence",
         F.when(F.col("c.bbox").isNotNull(), F.struct(
             F.col("c.bbox.top").alias("top"), F.col("c.bbox.left").alias("left"),
             F.col("c.bbox.bottom").alias("bottom"), F.col("c.bbox.right").alias("right"))).alias("box"),
@@ -27,8 +31,12 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def detection_documents(detections: DataFrame) -> DataFrame:
-    """The nested document per entry that ``read_detections`` reads back (confidence to 3 digits)."""
+def detection_documents(detections: DataFrame, per_document: int = 10_000) -> DataFrame:
+    """The nested documents that ``read_detections`` reads back (confidence to 3 digits).
+
+    One for each entry; an entry with detections numbered beyond ``per_document`` has several, so that no document
+    grows with it.
+    """
     box = F.col("box")
     item = F.struct(
         "det_no", "name", "state", F.round("confidence", 3).alias("confidence"), "anchor_text",
@@ -37,10 +45,15 @@ def detection_documents(detections: DataFrame) -> DataFrame:
             box["right"].alias("right"), (box["right"] - box["left"]).alias("width"),
             (box["bottom"] - box["top"]).alias("height"))).alias("bbox"),
     )
-    return detections.groupBy("entry_id").agg(F.array_sort(F.collect_list(item)).alias("_items")).select(
-        "entry_id", F.size("_items").alias("total_checkboxes_detected"),
-        F.transform("_items", lambda c: c.dropFields("det_no")).alias("checkboxes"),
-    )
+    part = F.floor(F.col("det_no") / per_document).alias("_part")
+    return detections.groupBy("entry_id", part).agg(F.array_sort(F.collect_list(item)).alias("checkboxes")).select(
+        "entry_id", F.size("checkboxes").alias("total_checkboxes_detected"), "checkboxes")
+
+
+def write_detections(detections: DataFrame, path: str, folders: int = 64) -> None:
+    """Write the documents of all entries, one a line, into a fixed number of folders rather than a file for each."""
+    documents = detection_documents(detections)
+    documents.withColumn("bucket", F.pmod(F.xxhash64("entry_id"), F.lit(folders))).write.partitionBy("bucket").json(path)
 
 
 def mime_from_magic(content: Column) -> Column:

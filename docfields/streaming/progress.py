@@ -6,19 +6,20 @@ dropped by the stateful operators and counted with ``dropped_late_rows``.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from docfields.functions.kernels import ship_by_value
 
 LATENESS, LIFETIME_MS = "1 hour", 3_600_000
 STUCK_SECONDS = 360
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 ship_by_value(__name__)
 
@@ -56,30 +57,73 @@ def with_end(stream: DataFrame, path: str, **last: object) -> DataFrame:
     return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
 
 
-def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Hold events back until the watermark has passed them; then, in their order, emit those that differ from the
-    last (status, confidence)."""
-    last_ts, status, confidence, held = state.get if state.exists else (-1, None, None, "[]")
-    pending = json.loads(held)
-    for batch in [] if state.hasTimedOut else batches:
-        for row in batch.itertuples(index=False):
-            score = None if pd.isna(row.confidence_score) else float(row.confidence_score)
-            pending.append([int(row.ts.value), int(row.event_id), row.status, score])
-    watermark = state.getCurrentWatermarkMs()
-    ready = sorted((p for p in pending if p[0] // 1_000_000 < watermark), key=lambda p: (p[0], p[1], str(p[2]), str(p[3])))
-    pending = [p for p in pending if p[0] // 1_000_000 >= watermark]
-    rows = []
-    for ts, _, now, score in ready:
-        if last_ts < 0 or (now, score) != (status, confidence):
-            rows.append((key[0], now, score, pd.Timestamp(ts, unit="ns")))
-        last_ts, status, confidence = ts, now, score
-    if not pending and watermark > last_ts // 1_000_000 + LIFETIME_MS:
-        state.remove()
-    else:
-        state.update((last_ts, status, confidence, json.dumps(pending)))
-        due = max(p[0] for p in pending) // 1_000_000 + 1 if pending else last_ts // 1_000_000 + LIFETIME_MS
-        state.setTimeoutTimestamp(max(due, watermark) + 1)
-    yield pd.DataFrame(rows, columns=["form_id", "status", "confidence_score", "ts"])
+class _Changes(StatefulProcessor):
+    """Holds events back until the watermark has passed them; then, in their order, emits those that differ from the
+    last (status, confidence) of the form.
+
+    Held events are a list state: an arriving event is appended, what waits is not written again. One timer stands for
+    the earliest of them; when it fires, what the watermark has passed is emitted and the rest put back.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "ts long, event_id long, status string, confidence_score double")
+        self.last = handle.getValueState("last", "ts long, status string, confidence_score double")
+        self.due = handle.getValueState("due", "ms long")
+
+    def _wake(self, ms: int) -> None:
+        """Fire at ``ms`` (or as soon as the watermark moves), in place of any later timer."""
+        before = self.due.get()
+        if before is not None:
+            if before[0] <= ms:
+                return
+            self.handle.deleteTimer(before[0])
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for batch in rows:
+            arrived = [
+                (int(row.ts.value), int(row.event_id), row.status, None if pd.isna(row.confidence_score) else float(row.confidence_score))
+                for row in batch.itertuples(index=False)]
+            if arrived:
+                self.held.appendList(arrived)
+                first = min(a[0] for a in arrived)
+                earliest = first if earliest is None else min(first, earliest)
+        if earliest is not None:
+            self._wake(max(earliest // 1_000_000 + 1, timerValues.getCurrentWatermarkInMs()) + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.due.clear()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(h) for h in self.held.get()]
+        ready = sorted((h for h in held if h[0] // 1_000_000 < watermark), key=lambda h: (h[0], h[1], str(h[2]), str(h[3])))
+        waiting = [h for h in held if h[0] // 1_000_000 >= watermark]
+        last = self.last.get()
+        rows = []
+        for ts, _, status, score in ready:
+            if last is None or (status, score) != tuple(last)[1:]:
+                rows.append((key[0], status, score, pd.Timestamp(ts, unit="ns")))
+            last = (ts, status, score)
+        if ready:
+            self.last.update(last)
+            self.held.clear()
+            if waiting:
+                self.held.put(waiting)
+        if waiting:
+            self._wake(max(min(h[0] for h in waiting) // 1_000_000 + 1, watermark) + 1)
+        elif last is not None and watermark > last[0] // 1_000_000 + LIFETIME_MS:
+            self.last.clear()
+        elif last is not None:
+            self._wake(max(last[0] // 1_000_000 + LIFETIME_MS, watermark) + 1)
+        if rows:
+            made = pd.DataFrame(rows, columns=["form_id", "status", "confidence_score", "ts"])
+            yield made.astype({"confidence_score": "float64"})
+
+    def close(self) -> None:
+        pass
 
 
 def state_changes(events: DataFrame) -> DataFrame:
@@ -87,16 +131,17 @@ def state_changes(events: DataFrame) -> DataFrame:
 
     Events wait in the state until the watermark has passed them, so the order of arrival does not matter; later
     ones are dropped and counted. Without an ``event_id`` ties in time go by status. State expires an hour after the
-    last event.
+    last event. List states and timers need the RocksDB state store, which the session is set to.
     """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
     kind = events.schema["form_id"].dataType.simpleString()
     number = F.col("event_id") if "event_id" in events.columns else F.lit(0)
     return (
         events.select("form_id", "status", "confidence_score", "ts", number.cast("bigint").alias("event_id"))
         .withWatermark("ts", LATENESS).groupBy("form_id")
-        .applyInPandasWithState(
-            _changes, f"form_id {kind}, status string, confidence_score double, ts timestamp",
-            "ts long, status string, confidence_score double, held string", "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(
+            _Changes(), f"form_id {kind}, status string, confidence_score double, ts timestamp",
+            "append", "EventTime")
     )
 
 
@@ -143,13 +188,14 @@ def _stuck(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         state.remove()
         yield pd.DataFrame({"form_id": [key[0]], "since": [pd.Timestamp(since, unit="ns")]})
         return
-    last, status = state.get if state.exists else (-1, None)
+    last, number, status = state.get if state.exists else (-1, -1, None)
     for batch in batches:
-        newest = batch.sort_values("ts", kind="stable").iloc[-1]
-        if int(newest.ts.value) >= last:
-            last, status = int(newest.ts.value), newest.status
+        for row in batch.itertuples(index=False):
+            now = (int(row.ts.value), int(row.event_id), row.status)
+            if now[:2] > (last, number) or (now[:2] == (last, number) and now[2] > (status or "")):
+                last, number, status = now
     if status == "processing":
-        state.update((last, status))
+        state.update((last, number, status))
         # A timeout must lie after the watermark; a job already overdue fires at the next step of it.
         due = last // 1_000_000 + STUCK_SECONDS * 1000
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
@@ -158,11 +204,16 @@ def _stuck(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 
 
 def stuck_forms(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Forms in 'processing' for more than six minutes of event time without another event."""
+    """Forms in 'processing' for more than six minutes of event time without another event.
+
+    The last event of a form is that with the largest (ts, event_id), then status; the order of arrival does not matter.
+    """
     kind = events.schema["form_id"].dataType.simpleString()
+    number = F.col("event_id") if "event_id" in events.columns else F.lit(0)
     return (
-        events.select("form_id", "status", "ts").withWatermark("ts", lateness).groupBy("form_id")
-        .applyInPandasWithState(_stuck, f"form_id {kind}, since timestamp", "ts long, status string", "append",
+        events.select("form_id", "status", "ts", number.cast("bigint").alias("event_id"))
+        .withWatermark("ts", lateness).groupBy("form_id")
+        .applyInPandasWithState(_stuck, f"form_id {kind}, since timestamp", "ts long, event_id long, status string", "append",
                                 GroupStateTimeout.EventTimeTimeout)
     )
 

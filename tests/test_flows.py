@@ -260,3 +260,45 @@ def test_stored_tables_are_released(spark):
     path = m._written[0]
     assert os.path.isdir(path) and m.release(spark) == 1 and not os.path.exists(path)
     m._written[:] = before
+
+
+def test_retries_of_users(spark):
+    entries = spark.createDataFrame([(1, 7, "uploaded"), (2, 8, "PROCESSING"), (3, 7, "extracted"), (4, None, "uploaded")],
+                                    "entry_id bigint, uploaded_by bigint, status string")
+    fields = spark.createDataFrame([(i, "f") for i in (1, 2, 3, 4)], "entry_id bigint, field_name string")
+    users = spark.createDataFrame([(7, "encoder"), (9, "admin")], "user_id bigint, role string")
+    asked = spark.createDataFrame([(1, 7), (2, 7), (2, 9), (3, 7), (4, 7), (5, 9), (1, 99)], "entry_id bigint, user_id bigint")
+    done = lifecycle.retry_requests(entries, fields, asked, users)
+    assert sorted((r.entry_id, r.user_id, r.reason) for r in done["rejects"].collect()) == [
+        (1, 99, "not the uploader"), (2, 7, "not the uploader"), (3, 7, "cannot retry in status extracted"),
+        (4, 7, "not the uploader"), (5, 9, "entry not found")]
+    assert sorted((r.entry_id, r.status) for r in done["entries"].collect()) == [(1, "uploaded"), (2, "uploaded"), (3, "extracted"), (4, "uploaded")]
+    assert sorted(r.entry_id for r in done["fields"].collect()) == [3, 4]
+
+
+def test_pages_continue_behind_a_row(spark):
+    from docfields.operators import paging
+
+    rows = [(i, f"2024-01-01 00:00:{i % 7:02d}" if i % 11 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "entry_id bigint, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    whole = [r.entry_id for r in paging.page(df, 1, 60).collect()]
+    got, page = [], paging.page(df, 1, 7).collect()
+    while page:
+        got += [r.entry_id for r in page]
+        last = page[-1]
+        page = paging.page_after(df, str(last.created_at) if last.created_at else None, last.entry_id, 7).collect()
+    assert got == whole
+    plan = paging.page_after(df, "2024-01-01 00:00:03", 5, 7)._jdf.queryExecution().toString()
+    assert "TakeOrderedAndProject" in plan and "Offset" not in plan
+
+
+def test_detections_of_a_large_entry_are_several_documents(spark, tmp_path):
+    rows = [(k, i, f"n{i}", "checked", 0.5, (1.0 * i, 2.0, 3.0, None) if i % 2 else None, "a") for k, n in ((1, 250), (2, 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "entry_id bigint, det_no bigint, name string, state string, confidence double, "
+                                     "box struct<top:double,left:double,bottom:double,right:double>, anchor_text string")
+    docs = documents.detection_documents(df, 100)
+    assert sorted((r.entry_id, r.total_checkboxes_detected) for r in docs.collect()) == [(1, 50), (1, 100), (1, 100), (2, 3)]
+    documents.write_detections(df, str(tmp_path / "d"), 4)
+    assert len(list((tmp_path / "d").glob("bucket=*"))) <= 4
+    got = documents.read_detections(spark, str(tmp_path / "d"), lines=True).withColumn("entry_id", F.col("entry_id").cast("bigint"))
+    assert sorted(map(str, got.select(df.columns).collect())) == sorted(map(str, df.collect()))

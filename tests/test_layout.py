@@ -131,6 +131,31 @@ def test_exact_percentiles(spark):
         assert [got[k].a, got[k].b, got[k].c] == pytest.approx(list(np.percentile(vs, [25, 50, 90])))
 
 
+def test_percentiles_of_values_that_lie_close_together(spark):
+    """Values far outside [0, 1], in a sliver of it, tied, infinite: no node of more than a few values is ranked."""
+    import numpy as np
+
+    rng = random.Random(4)
+    groups = {
+        "sliver": [0.5 + rng.random() / 10_000 for _ in range(3000)], "wide": [rng.uniform(-1e9, 1e9) for _ in range(1500)],
+        "skewed": [10.0 ** rng.uniform(-9, 9) * rng.choice([-1, 1]) for _ in range(500)], "ties": [rng.randrange(3) / 7 for _ in range(900)],
+        "one": [4.5], "huge": [1.7e308 * (i / 200 - 1) for i in range(400)]}
+    rows = [(k, v) for k, values in groups.items() for v in values] + [("none", None), ("inf", float("inf")), ("inf", 1.0), ("inf", float("inf"))]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    wanted = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.937, "e": 1.0}
+    got = {r.k: r for r in exact_percentiles(df, ["k"], F.col("v"), wanted, buckets=64, together=60).collect()}
+    assert set(got) == {*groups, "inf"} and tuple(got["inf"])[1:] == (1.0, float("inf"), float("inf"), float("inf"), float("inf"))
+    for k, values in groups.items():
+        for name, p in wanted.items():
+            low, high = (sorted(values)[int(f((len(values) - 1) * p))] for f in (np.floor, np.ceil))
+            assert min(low, high) <= got[k][name] <= max(low, high)
+            if k != "huge":
+                assert got[k][name] == pytest.approx(np.quantile(values, p), rel=1e-9)
+    every = exact_percentiles(df.filter("k = 'sliver'"), [], F.col("v"), {"m": 0.5}, buckets=256, together=20).first().m
+    assert every == pytest.approx(np.quantile(groups["sliver"], 0.5), rel=1e-12)
+    assert exact_percentiles(df.limit(0), ["k"], F.col("v"), {"m": 0.5}).count() == 0
+
+
 def greedy(detections, fields):
     """Phase by phase in schema order, for one entry."""
     def tokens(name):
@@ -255,17 +280,55 @@ def test_reading_order_and_full_text(spark):
 
 
 def test_a_hot_page_is_ranked_by_several_tasks(spark):
-    """One entry with page coordinates holds a third of all lines; its rows lie in several blocks."""
+    """One entry holds a third of all lines, half of them without a box; its rows lie in several blocks."""
     lines = spark.range(6000).selectExpr(
         "CASE WHEN id % 3 = 0 THEN 0 ELSE id END entry_id", "id line_no", "concat('t', id) text", "0.5D confidence",
-        "named_struct('top', (id * 7919) % 1999 + 0.0D, 'left', (id % 40) * 10.0D, 'bottom', 0.0D, 'right', 0.0D) box")
-    from docfields.functions import scans
-    blocks = lines.filter("entry_id = 0").selectExpr(f"floor(box.top / {scans.WIDTH}) b").distinct().count()
-    assert blocks > 2
-    ranked = scans.ordered_rank(lines.withColumn("top", F.col("box.top")), ["entry_id"], "top", ["top", "line_no"], "n")
-    hot = [(r.top, r.line_no, r.n) for r in ranked.filter("entry_id = 0").collect()]
-    assert [n for *_, n in sorted(hot)] == list(range(1, 2001))
-    assert ranked.withColumn("p", F.spark_partition_id()).filter("entry_id = 0").select("p").distinct().count() > 1
+        "CASE WHEN id % 2 = 0 THEN named_struct('top', (id * 7919) % 13 + 0.0D, 'left', (id % 40) * 10.0D, 'bottom', 0.0D, 'right', 0.0D) END box")
+    order = ["top", "left", "line_no"]
+    placed = lines.select("entry_id", "line_no", F.col("box.top").alias("top"), F.col("box.left").alias("left"))
+    for partitions in (None, 40):
+        blocks = scans.ordered_blocks(placed, ["entry_id"], order, partitions).filter("entry_id = 0")
+        if partitions:
+            sizes = [r["count"] for r in blocks.groupBy("_block").count().collect()]
+            assert len(sizes) > 8 and max(sizes) < 500
+            assert blocks.filter("top is null").select("_block").distinct().count() > 3
+        ranked = scans.ordered_rank(placed, ["entry_id"], order, "n", partitions)
+        rows = [(r.top is not None, r.top, r.left, r.line_no, r.n) for r in ranked.filter("entry_id = 0").collect()]
+        assert [r[-1] for r in sorted(rows, key=lambda r: (r[0], r[1] or 0, r[2] or 0, r[3]))] == list(range(1, 2001))
+        assert ranked.filter("entry_id <> 0").agg(F.min("n"), F.max("n"), F.count("n")).first() == (1, 1, 4000)
+    got = line_ops.reading_order(lines)
+    assert got.columns == [*lines.columns, "reading_no"] and got.filter("entry_id = 0").agg(F.count_distinct("reading_no")).first()[0] == 2000
+
+
+def _walked(values, threshold):
+    start, out = None, {}
+    for c in sorted(set(values)):
+        if start is None or c > start + threshold:
+            start = c
+        out[c] = start
+    return out
+
+
+def test_long_runs_equal_the_walk(spark):
+    rng = random.Random(6)
+    pages = {k: [rng.randrange(span) / 4 for _ in range(n)] for k, n, span in ((1, 600, 2500), (2, 40, 4000), (3, 1, 5), (4, 300, 900))}
+    rows = [(k, i, (c, 0.0, 0.0, 0.0)) for k, cs in pages.items() for i, c in enumerate(cs)]
+    lines = spark.createDataFrame(rows, "entry_id bigint, line_no bigint, box struct<top:double,left:double,bottom:double,right:double>")
+    walked = sorted(tuple(r) for r in positional._grouped(lines, "top", 15.0, "row_no").select("entry_id", "line_no", "row_no").collect())
+    for limit in (50,):
+        got = positional._grouped(lines, "top", 15.0, "row_no", limit).select("entry_id", "line_no", "row_no")
+        assert sorted(tuple(r) for r in got.collect()) == walked
+    for k, cs in pages.items():
+        starts = _walked(cs, 15.0)
+        number = {c: i for i, c in enumerate(sorted(set(starts.values())), 1)}
+        assert {(i, n) for e, i, n in walked if e == k} == {(i, number[starts[c]]) for i, c in enumerate(cs)}
+
+
+def test_an_unbroken_run_is_solved_on_many_tasks(spark):
+    """Every step of the doubling is dealt by single coordinates."""
+    runs = spark.range(1000).selectExpr("1L entry_id", "0.0D _run", "id * 1.0D _c")
+    got = positional.long_run_starts(runs, 15.0)
+    assert {r._c: r._start for r in got.collect()} == {float(i): float(i // 16 * 16) for i in range(1000)}
 
 
 def test_rows_of_an_unbroken_run(spark):

@@ -50,6 +50,33 @@ def test_state_changes_in_any_order_of_arrival(spark, tmp_path):
     assert {(r.form_id, r.ts.strftime("%Y-%m-%dT%H:%M:%S")) for r in out.collect()} == want
 
 
+def test_ties_go_by_number_whatever_arrives_first(spark, tmp_path):
+    """Shuffled events, several at one time, in several batches: changes and stuck forms equal the batch order."""
+    rng = random.Random(8)
+    rows = [{"event_id": i, "form_id": rng.randrange(5), "status": rng.choice(["processing", "extracted"]), "confidence_score": None,
+             "ts": f"2024-01-01T00:{rng.randrange(6):02d}:00"} for i in range(300)]
+    want = []
+    for form in range(5):
+        own, before = sorted((r for r in rows if r["form_id"] == form), key=lambda r: (r["ts"], r["event_id"])), None
+        for r in own:
+            if r["status"] != before:
+                want.append((form, r["status"], r["ts"]))
+            before = r["status"]
+    last = {r["form_id"]: r["status"] for r in sorted(rows, key=lambda r: (r["ts"], r["event_id"]))}
+    rng.shuffle(rows)
+    schema = "event_id bigint, form_id bigint, status string, confidence_score double, message string, ts timestamp"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    end = {"event_id": -1, "form_id": -1, "status": "end", "ts": "2024-01-01T09:00:00"}
+    for n, part in enumerate([rows[:100], rows[100:], [end]]):
+        write(tmp_path / "in", n, part)
+        _, out = result(spark, progress.state_changes(stream), tmp_path / "changes")
+        _, stuck = result(spark, progress.stuck_forms(stream), tmp_path / "stuck")
+    got = [(r.form_id, r.status, r.ts.strftime("%Y-%m-%dT%H:%M:%S")) for r in out.collect() if r.form_id >= 0]
+    assert sorted(got) == sorted(want)
+    assert sorted(r.form_id for r in stuck.collect()) == sorted(k for k, status in last.items() if status == "processing")
+
+
 def test_latest_status_with_late_and_tied_events(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
