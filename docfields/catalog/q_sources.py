@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfields.catalog.q_reports import VERIFIED
 from docfields.catalog.registry import query
+from docfields.functions.materialize import scratch_folder
 from docfields.operators import reports
-from docfields.session import checkpoint_dir
 from docfields.sources import documents, tables
 from docfields.streaming import progress, quality
 
 
 def folder(v) -> str:
-    return f"{checkpoint_dir(v.spark)}/docfields-{uuid.uuid4().hex}"
+    return scratch_folder(v.spark)
 
 
 @query("line_items_read", [], "SELECT count(*) AS n FROM lineitem")
@@ -37,11 +35,11 @@ def _(v):
 
 
 @query("read_detections", ["detections"], """
-SELECT CAST(entry_id AS VARCHAR) AS entry_id, det_no, name, state, round(confidence, 3) AS confidence, anchor_text,
+SELECT CAST(entry_id AS VARCHAR) AS entry_id, det_no, name, state, round(confidence + 1e-10, 3) AS confidence, anchor_text,
   det_no * 10.5e0 AS top, CASE WHEN det_no <> 3 THEN CAST(entry_id % 500 AS DOUBLE) END AS "left",
   det_no * 10.5e0 + 8 AS bottom, CASE WHEN det_no <> 3 THEN CAST(entry_id % 500 + 40 AS DOUBLE) END AS "right", det_no = 2 AS no_box
 FROM detections WHERE det_no <> 2
-UNION ALL SELECT CAST(entry_id AS VARCHAR), det_no, name, state, round(confidence, 3), anchor_text, NULL, NULL, NULL, NULL, true
+UNION ALL SELECT CAST(entry_id AS VARCHAR), det_no, name, state, round(confidence + 1e-10, 3), anchor_text, NULL, NULL, NULL, NULL, true
 FROM detections WHERE det_no = 2""")
 def _(v):
     path = folder(v)

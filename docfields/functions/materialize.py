@@ -11,6 +11,13 @@ from docfields.session import checkpoint_dir
 _written: list[str] = []
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name below the shared one; ``release`` deletes it with the stored tables."""
+    path = f"{checkpoint_dir(spark)}/docfields-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back.
 
@@ -19,14 +26,13 @@ def materialize(df: DataFrame) -> DataFrame:
     still read only the columns they need.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/docfields-{uuid.uuid4().hex}"
+    path = scratch_folder(spark)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables this driver has written, once no result that reads them is needed; returns their number."""
+    """Delete the tables and folders this driver has written, once no result that reads them is needed; returns their number."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     gone = 0
     while _written:

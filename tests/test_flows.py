@@ -302,3 +302,16 @@ def test_detections_of_a_large_entry_are_several_documents(spark, tmp_path):
     assert len(list((tmp_path / "d").glob("bucket=*"))) <= 4
     got = documents.read_detections(spark, str(tmp_path / "d"), lines=True).withColumn("entry_id", F.col("entry_id").cast("bigint"))
     assert sorted(map(str, got.select(df.columns).collect())) == sorted(map(str, df.collect()))
+
+
+def test_release_deletes_tables_and_folders(spark):
+    import os
+
+    from docfields.functions import materialize as m
+
+    m.release(spark)
+    kept = m.materialize(spark.range(3))
+    folder = m.scratch_folder(spark)
+    spark.range(2).write.parquet(folder)
+    assert kept.count() == 3 and os.path.isdir(folder)
+    assert m.release(spark) == 2 and not os.path.exists(folder) and m.release(spark) == 0
