@@ -8,9 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docfields.functions.materialize import materialize
 from docfields.llm.batches import LOWER, RangeHash, add_columns, append, hashes_of, ragged, runs, slices, text_bytes
 
 BLOCK_BYTES = 16 << 20
@@ -19,6 +20,7 @@ _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 COLUMNS = ("n_words bigint, n_hit bigint, hit_spans array<struct<start:bigint,end:bigint>>, item_ids array<bigint>, "
            "longest_match struct<item_id:bigint,item_word:bigint,entry_word:bigint,n_words:bigint>")
+NEW = ["n_words", "n_hit", "hit_spans", "item_ids", "longest_match"]
 
 
 @dataclass
@@ -135,7 +137,7 @@ def _longest(text: Words, block: Block, window: np.ndarray, position: np.ndarray
     return size
 
 
-def _with_block(entries: DataFrame, block: Block, text: str, width: int, first: bool) -> DataFrame:
+def _with_block(entries: DataFrame, block: Block, text: str, width: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             words = Words.of(*text_bytes(batch.column(text)))
@@ -154,7 +156,6 @@ def _with_block(entries: DataFrame, block: Block, text: str, width: int, first:
             best = np.lexsort((position, -size, row))
             best = best[np.concatenate(([True], row[best][1:] != row[best][:-1]))] if len(best) else best
             of_row = dict(zip(row[best].tolist(), best.tolist(), strict=True))
-            before = [] if first else [x.to_pylist() for x in (batch.column("hit_spans"), batch.column("item_ids"), batch.column("longest_match"))]
             cuts = [np.searchsorted(x, np.arange(batch.num_rows + 1)) for x in (span_row, items[0])]
             spans_out, items_out, longest_out, n_hit = [], [], [], []
             block_item = np.searchsorted(block.words.offsets, block.start, side="right") - 1
@@ -169,12 +170,6 @@ def _with_block(entries: DataFrame, block: Block, text: str, width: int, first:
                     match = {"item_id": int(block.item_ids[block_item[w]]) if block.has_id[block_item[w]] else None,
                              "item_word": int(block.start[w] - block.words.offsets[block_item[w]]),
                              "entry_word": int(position[k] - words.offsets[i]), "n_words": int(size[k])}
-                if not first:
-                    spans = _union(spans + [(s["start"], s["end"]) for s in before[0][i]])
-                    ids |= set(before[1][i])
-                    held = before[2][i]
-                    if held and (not match or (-held["n_words"], held["entry_word"]) <= (-match["n_words"], match["entry_word"])):
-                        match = held
                 spans_out.append([{"start": s, "end": e} for s, e in spans])
                 n_hit.append(sum(e - s for s, e in spans))
                 items_out.append(sorted(ids))
@@ -183,19 +178,17 @@ def _with_block(entries: DataFrame, block: Block, text: str, width: int, first:
                     "hit_spans": pa.array(spans_out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     "item_ids": pa.array(items_out, pa.list_(pa.int64())),
                     "longest_match": pa.array(longest_out, pa.struct([(n, pa.int64()) for n in ("item_id", "item_word", "entry_word", "n_words")]))}
-            yield append(batch.select([n for n in batch.schema.names if n not in made]), made)
+            yield append(batch, made)
 
-    return add_columns(entries, COLUMNS, make) if first else entries.mapInArrow(make, entries.schema)
+    return add_columns(entries, COLUMNS, make)
 
 
-def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+def _with_word_counts(entries: DataFrame, text: str) -> DataFrame:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            yield append(batch, {"n_words": pa.array(np.diff(Words.of(*text_bytes(batch.column(text))).offsets))})
+
+    return add_columns(entries, "n_words bigint", make)
 
 
 def with_benchmark_matches(entries: DataFrame, items: DataFrame, text: str = "full_text", item_key: str = "item_id",
@@ -211,7 +204,8 @@ def with_benchmark_matches(entries: DataFrame, items: DataFrame, text: str = "fu
 
     Each task cuts its entries into shards of a few MB, builds the suffix array of each shard and searches all
     windows in it at once. The items come in blocks of about ``block_bytes`` of text, measured before, whose windows
-    go to every task; a later block adds to the columns of the earlier ones. No row is shuffled.
+    go to every task. No row is shuffled. Beyond one block the entries are stored once and each block's finds (rows with a
+    hit) are stored before the next block is fetched, then joined to the entries by row.
 
     Null or empty texts have no words and no hits. A null item text has no windows; an item without key marks words
     but is not listed; items that share a key are one item. No items, no hits. Every input row gives one row,
@@ -223,13 +217,48 @@ def with_benchmark_matches(entries: DataFrame, items: DataFrame, text: str = "fu
     if blocks > 1:
         # Too large for one block: deal the items out, each block is fetched by itself.
         rows = rows.withColumn("b", F.pmod(F.xxhash64("t"), F.lit(blocks)))
-    out = entries
-    for b in range(blocks):
-        part = rows.where(F.col("b") == b) if blocks > 1 else rows
+    def block(part: DataFrame) -> Block:
         held = part.select("id", "t").toArrow()
-        block = Block.of(held.column("id").to_pylist(), held.column("t").to_pylist(), width)
-        out = _with_block(out, block, text, width, b == 0)
-    return out
+        return Block.of(held.column("id").to_pylist(), held.column("t").to_pylist(), width)
+
+    if blocks == 1:
+        return _with_block(entries, block(rows), text, width)
+    # One block after the other: what it finds is stored, then it is dropped, so the driver holds one.
+    names = [n for n in entries.columns if n not in NEW]
+    numbered = materialize(entries.select(*[F.col(f"`{n}`").alias(f"_{i}") for i, n in enumerate(names)]).withColumn(
+        "_row", F.monotonically_increasing_id()))
+    texts = numbered.select("_row", F.col(f"_{names.index(text)}").alias("_text"))
+    found = None
+    for b in range(blocks):
+        one = _with_block(texts, block(rows.where(F.col("b") == b)), "_text", width).where("n_hit > 0")
+        one = materialize(one.select("_row", "hit_spans", "item_ids", "longest_match"))
+        found = one if found is None else found.unionAll(one)
+    merged = _merged(found)
+    empty = [F.col(n) if n == "longest_match" else F.coalesce(n, F.lit(0).cast("bigint") if n == "n_hit" else F.array().cast(merged.schema[n].dataType)).alias(n)
+             for n in NEW[1:]]
+    counted = _with_word_counts(numbered, f"_{names.index(text)}")
+    return counted.join(merged, "_row", "left").select(
+        *[F.col(f"_{i}").alias(n) for i, n in enumerate(names)], "n_words", *empty)
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """What several blocks found in each row as one: a row has as many parts as there are blocks, at most."""
+    match = F.col("longest_match")
+    both = found.groupBy("_row").agg(
+        F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("_spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+        F.min_by(match, F.when(match.isNotNull(), F.struct(-match["n_words"], match["entry_word"], match))).alias("longest_match"))
+    start = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def extend(done: Column, span: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
+        meets = (F.size(done) > 0) & (span["start"] <= last["end"])
+        return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(span)))
+
+    spans = F.aggregate("_spans", start, extend)
+    size = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return both.withColumn("hit_spans", spans).select("_row", size.alias("n_hit"), "hit_spans", "item_ids", "longest_match")
 
 
 def benchmark_matches(entries: DataFrame, items: DataFrame, key: str = "entry_id", text: str = "full_text",

@@ -17,6 +17,7 @@ BUCKETS = 1 << 14
 DIMENSIONS = 32
 NEIGHBOURS = 2
 PARTS = 64
+SALTS = 64
 MAX_LABELLED = 20_000
 # 0: white space and control, 1: word characters (all beyond ASCII too), 2: marks. A word is a run of one class.
 _CLASS = np.full(256, 2, np.uint8)
@@ -61,11 +62,22 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
+    """Sums of equal (part, salt), over rows in that order; one is held at a time."""
+    key, held = None, np.zeros(0, np.int64)
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([held.tobytes()], pa.binary())],
+                                          names=["part", "salt", "sums"])
+
     for batch in batches:
-        for part, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held[part] = held.get(part, 0) + np.frombuffer(sums, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([b.tobytes() for b in held.values()], pa.binary())], names=["part", "sums"])
+        for *now, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now != key:
+                if key is not None:
+                    yield row()
+                key, held = now, np.zeros(len(sums) // 8, np.int64)
+            held += np.frombuffer(sums, np.int64)
+    if key is not None:
+        yield row()
 
 
 def word_vectors(entries: DataFrame, text: str = "full_text") -> np.ndarray:
@@ -75,8 +87,13 @@ def word_vectors(entries: DataFrame, text: str = "full_text") -> np.ndarray:
     Words share ``BUCKETS`` rows by hash, so the table does not grow with the corpus. Sums are of whole numbers and
     do not depend on the order of the rows.
     """
+    schema = "part int, salt int, sums binary"
     sums = entries.select(F.col(text).alias("_text")).mapInArrow(_contexts, "part int, sums binary")
-    parts = sums.repartition("part").mapInArrow(_add, "part int, sums binary").collect()
+    sums = sums.select("part", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"), "sums")
+    # Two levels: the sums of all tasks would be one pile for each part, which grows with the number of tasks.
+    salted = sums.repartition("part", "salt").sortWithinPartitions("part", "salt").mapInArrow(_add, schema)
+    whole = salted.select("part", F.lit(0).alias("salt"), "sums").repartition("part").sortWithinPartitions("part").mapInArrow(_add, schema)
+    parts = whole.select("part", "sums").collect()
     table = np.zeros((PARTS, BUCKETS // PARTS * DIMENSIONS), np.int64)
     for part, held in parts:
         table[part] = np.frombuffer(held, np.int64)

@@ -10,6 +10,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docfields.functions.materialize import materialize
 from docfields.llm.batches import add_columns, append
 
 MAX_RULES = 50_000
@@ -74,10 +75,13 @@ class MinedRules:
         """``rules``: (tokens, verdict, confidence, support). A rule is dropped if a more general one with the same
         verdict is at least as sure."""
         kept: dict[tuple[frozenset[str], str], tuple[float, float]] = {}
+        # Kept rules by their first token, the shortest first: a more general rule starts with a token of this one.
+        first: dict[tuple[str, str], list[tuple[frozenset[str], float]]] = {}
         for tokens, verdict, confidence, support in sorted(rules, key=lambda r: (len(r[0]), sorted(r[0]), r[1])):
             own = frozenset(tokens)
-            if not any(v == verdict and c >= confidence and other <= own for (other, v), (c, _) in kept.items()):
+            if not any(c >= confidence and other <= own for t in own for other, c in first.get((t, verdict), ())):
                 kept[own, verdict] = (confidence, support)
+                first.setdefault((min(own, default=""), verdict), []).append((own, confidence))
         uses: dict[str, int] = {}
         for tokens, _ in kept:
             for t in tokens:
@@ -133,7 +137,8 @@ def judged_urls(entries: DataFrame, rules: list[tuple[str, str]], key: str = "en
             yield append(batch, {"rule": pa.array([f and f[0] for f in found], pa.string()),
                                  "verdict": pa.array([f and f[1] for f in found], pa.string())})
 
-    decided = add_columns(rows, "rule string, verdict string", decide)
+    # Stored: mining reads it several times, the last step once more.
+    decided = materialize(add_columns(rows, "rule string, verdict string", decide))
     labelled = decided.where("rule IS NOT NULL").select("tokens", "verdict")
     mined = MinedRules.of([] if labelled.isEmpty() else mine_rules(labelled, min_support, min_confidence))
 

@@ -82,3 +82,14 @@ def test_general_rules_replace_special_ones():
     mined = url_rules.MinedRules.of([(["a"], "block", 0.9, 0.2), (["a", "b"], "block", 0.9, 0.1), (["a", "c"], "block", 1.0, 0.1), (["b"], "allow", 0.95, 0.3)])
     assert sum(map(len, mined.by_token.values())) == 3
     assert [mined.verdict(t) for t in (["a"], ["a", "b"], ["a", "b", "c"], ["x"], [])] == ["block", "allow", "block", "allow", "allow"]
+
+
+def test_pruning_equals_comparing_all_rules():
+    rng = random.Random(12)
+    rules = [([f"t{x}" for x in rng.sample(range(8), rng.randrange(1, 5))], rng.choice(["allow", "block"]), rng.randrange(80, 100) / 100, 0.1)
+             for _ in range(300)]
+    rules = list({(frozenset(r[0]), r[1]): r for r in rules}.values())
+    want = {(frozenset(t), v) for t, v, c, _ in rules
+            if not any(v2 == v and c2 >= c and set(t2) < set(t) for t2, v2, c2, _ in rules)}
+    got = url_rules.MinedRules.of(rules)
+    assert {(tokens, v) for found in got.by_token.values() for _, _, v, tokens in found} == want
