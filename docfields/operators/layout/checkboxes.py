@@ -112,13 +112,13 @@ def map_checkboxes(detections: DataFrame, entries: DataFrame, template_fields: D
 
     Phase 1 takes equal names, phase 2 name tokens, phase 3 similar labels; phases 2 and 3 go through the
     fields in schema order and take the most confident free detection. At most F - 1 detections can be
-    taken before a field's turn (F = check-box fields of the largest template), so its F best candidates
+    taken before a field's turn (F = check-box fields of the template), so its F best candidates
     are enough for an exact result and the last step works on at most F x F numbers per entry.
     """
     boxes = template_fields.filter("type = 'checkbox'").select(
         "template_id", "field_pos", F.col("name").alias("field_name"), F.lower("name").alias("_key"), "label",
-        name_tokens(F.col("name")).alias("_tokens"))
-    limit = boxes.groupBy("template_id").count().agg(F.max("count")).first()[0] or 1
+        name_tokens(F.col("name")).alias("_tokens"),
+        F.count(F.lit(1)).over(Window.partitionBy("template_id")).alias("_limit"))
     found = detections.join(entries.select("entry_id", "template_id"), "entry_id")
     exact = (
         found.withColumn("_key", F.lower("name")).join(boxes, ["template_id", "_key"])
@@ -132,12 +132,12 @@ def map_checkboxes(detections: DataFrame, entries: DataFrame, template_fields: D
     by_label = (F.coalesce("label", F.lit("")) != "") & similar(F.col("name"), F.col("label"), LABEL_SIMILARITY)
     phases = F.array_compact(F.array(F.when(by_token, F.lit(2)), F.when(by_label, F.lit(3))))
     matches = names.join(boxes, "template_id").select(
-        "template_id", "name", "field_pos", "field_name", F.explode(phases).alias("phase"))
+        "template_id", "name", "field_pos", "field_name", "_limit", F.explode(phases).alias("phase"))
     best = Window.partitionBy("entry_id", "field_pos", "phase").orderBy(F.col("confidence").desc(), "det_no")
     candidates = (
         free.join(matches, ["template_id", "name"])
-        .select("entry_id", "field_pos", "field_name", "det_no", "confidence", "phase")
-        .withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= int(limit))
+        .select("entry_id", "field_pos", "field_name", "det_no", "confidence", "phase", "_limit")
+        .withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= F.col("_limit"))
     )
     taken = exact.select("entry_id", "field_pos")
     offers = (

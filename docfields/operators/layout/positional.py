@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from docfields.functions.kernels import ship_by_value
 from docfields.functions.materialize import materialize
-from docfields.functions.scans import ordered_blocks, ordered_rank, previous_value, running_max_through
+from docfields.functions.scans import BLOCK, ordered_blocks, ordered_rank, previous_value, running_max_through
 from docfields.operators.layout.anchors import per_entry
-from docfields.operators.lines import ordered_text
 
 # Distances in pixels.
 SAME_ROW, SAME_COLUMN, REACH = 30.0, 50.0, 150.0
@@ -48,12 +47,18 @@ def extract_by_label_position(entries: DataFrame, lines: DataFrame, template_fie
         .filter((F.col("box") != F.col("label_box")) & _value_of(F.col("label_box"), F.col("box")))
     )
     keys = ["entry_id", "field_name"]
-    mean = pairs.groupBy(*keys).agg(
-        F.avg(F.coalesce("confidence", F.lit(DEFAULT_CONFIDENCE)).cast("decimal(18,8)")).cast("double").alias("_conf"))
-    joined = ordered_text(pairs, keys, "line_no", F.col("text"), " ", "_text")
+    # One pass: texts and sums of blocks of lines, then a few blocks of each field.
+    number = F.coalesce("confidence", F.lit(DEFAULT_CONFIDENCE)).cast("decimal(18,8)")
+    blocks = pairs.groupBy(*keys, F.floor(F.col("line_no") / BLOCK).alias("_block")).agg(
+        F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("text", F.lit("")).alias("text")))).alias("_l"),
+        F.sum(number).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    blocks = blocks.select(*keys, "_block", F.array_join("_l.text", " ").alias("_text"), "_sum", "_n")
+    joined = blocks.groupBy(*keys).agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("_block", "_text")))["_text"], " ").alias("_text"),
+        (F.sum("_sum").cast("decimal(28,12)") / F.sum("_n").cast("decimal(12,0)")).cast("decimal(22,12)").cast("double").alias("_conf"))
     wanted = entries.select("entry_id", "template_id").join(
         template_fields.select("template_id", F.col("name").alias("field_name")), "template_id")
-    return wanted.join(joined, keys, "left").join(mean, keys, "left").select(
+    return wanted.join(joined, keys, "left").select(
         *keys, F.coalesce(F.trim("_text"), F.lit("")).alias("value"),
         F.coalesce("_conf", F.lit(0.0)).alias("confidence"))
 
