@@ -94,3 +94,15 @@ def test_token_counts_are_those_of_the_library(spark, entries, corpus, table):
 def test_small_vocabulary_with_failure_chains():
     matcher = word_pieces.LongestMatch(["a", "abcdx", "##b", "##c", "##cdy", "##dz"])
     assert [matcher.count(w) for w in ["a", "abcdx", "abcdz", "abcdy", "abcd", "x", "ab", "##", "abc"]] == [1, 1, 4, 3, 0, 0, 2, 0, 3]
+
+
+def test_decoding_of_id_lists(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = ["Owner of the store, ñ 日本 🙂", "", "  two  blanks ", "x" * 300]
+    rows = [(i, library.encode(t)) for i, t in enumerate(texts)] + [(4, None), (5, []), (6, [None, 450, None, 451])]
+    df = spark.createDataFrame([(k, ids, "old") for k, ids in rows], "k int, token_ids array<int>, decoded_text string").repartition(3)
+    got = {r.k: r.decoded_text for r in pieces.with_decoded_text(df, MODEL).collect()}
+    assert got == {k: library.decode([i for i in ids or [] if i is not None]) for k, ids in rows}
+    assert pieces.with_decoded_text(df.limit(0), MODEL).collect() == []
+    with pytest.raises(Exception):
+        pieces.with_decoded_text(df.selectExpr("array(10000000) AS token_ids"), MODEL).collect()

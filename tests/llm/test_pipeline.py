@@ -68,3 +68,20 @@ def test_token_ids(spark, stages):
         assert r.decoded_text == texts[r.doc_id]
     ran = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r.doc_id, r.decoded_text) for r in ran) == sorted((r.doc_id, r.decoded_text) for r in got)
+
+
+def test_stages_on_no_rows_and_on_null_texts(spark):
+    """Every stage keeps its columns on an empty table; null and empty texts pass or go without an error."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(-1, None, None, None, None), (-2, "", "en", "s", 0), (-2, "", "en", "s", 0), (None, None, "de", "s", 1)], docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.collect() == [], name
+        some = stage(spark, odd, SF)
+        assert some.columns == empty.columns and (name == "token_ids" or some.columns == docs.columns)
+        rows = some.collect()
+        assert len(rows) <= 4
+        if name in ("line_dedup", "decontamination"):
+            assert len(rows) == 4 and {r.text for r in rows} == {None, ""}
+        if name == "token_ids":
+            assert [(list(r.token_ids), r.n_tokens, r.decoded_text) for r in rows] == [([], 0, "")] * 4
