@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docfields.functions import text
 from docfields.functions.kernels import ship_by_value
 from docfields.functions.materialize import materialize
-from docfields.functions.scans import ordered_rank, running_max_before, running_sum
+from docfields.functions.scans import BLOCK, ordered_rank, running_max_before, running_sum
 
 # Confidence by kind of region, distances in pixels, limits of a box-like line.
 TITLE_CONFIDENCE, GROUP_CONFIDENCE, TEXT_CONFIDENCE = 0.85, 0.70, 0.75
@@ -127,14 +127,16 @@ def classify_regions(lines: DataFrame) -> DataFrame:
         "entry_id", "region_type", "region_key", "line_no", "text", "box"))
     keys = ["entry_id", "region_type", "region_key"]
     value = text.strip(F.coalesce("text", F.lit("")))
-    said = F.array_sort(F.collect_list(F.struct("line_no", value.alias("p"))))
-    bounds = members.groupBy(*keys).agg(
-        F.struct(F.min("box.top").alias("top"), F.min("box.left").alias("left"),
-                 F.max("box.bottom").alias("bottom"), F.max("box.right").alias("right")).alias("box"),
-        F.min("line_no").alias("first_line"),
-        F.count(F.lit(1)).alias("line_count"),
-        F.array_join(F.transform(said, lambda s: s["p"]), " ").alias("_name"),
-    )
+    # Blocks of lines first, so that no row holds the single lines of a large region.
+    edges = {"top": F.min, "left": F.min, "bottom": F.max, "right": F.max}
+    blocks = members.groupBy(*keys, F.floor(F.col("line_no") / BLOCK).alias("_block")).agg(
+        *[fold(f"box.{edge}").alias(edge) for edge, fold in edges.items()], F.min("line_no").alias("first_line"),
+        F.count(F.lit(1)).alias("line_count"), F.array_sort(F.collect_list(F.struct("line_no", value.alias("p")))).alias("_said"))
+    blocks = blocks.withColumn("_said", F.array_join("_said.p", " "))
+    bounds = blocks.groupBy(*keys).agg(
+        F.struct(*[fold(edge).alias(edge) for edge, fold in edges.items()]).alias("box"), F.min("first_line").alias("first_line"),
+        F.sum("line_count").alias("line_count"),
+        F.array_join(F.array_sort(F.collect_list(F.struct("_block", "_said")))["_said"], " ").alias("_name"))
     kind = F.col("region_type")
     confidence = (
         F.when(kind == "section_title", TITLE_CONFIDENCE).when(kind == "checkbox_group", GROUP_CONFIDENCE)
