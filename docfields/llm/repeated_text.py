@@ -229,7 +229,9 @@ def _offsets(contexts: DataFrame, length: int, largest: int) -> DataFrame:
         equal = split.groupBy("bucket", "own").agg(F.sum("n").alias("total"), F.min(F.struct("gram", "hull")).alias("one"))
         both = materialize(split.join(equal, ["bucket", "own"]))
         done = done.unionAll(both.where("total > 1").select("gram", "hull", F.col("first").alias("low"), F.col("last").alias("high")))
+        # One hull stands for equal ones; if it was cut to the same string twice, it is still one.
         level = both.where(F.struct("gram", "hull") == F.col("one")).withColumn("n", F.col("total")).select(level.columns)
+        level = level.dropDuplicates(["bucket", "own"])
 
 
 def repeated_spans(entries: DataFrame, key: str = "entry_id", text: str = "full_text", length: int = LENGTH,
